@@ -9,13 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import share_package
+
 #: Java and RE2 class of the white space that separates words.
 SPACE_CLASS = r"[ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return share_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
