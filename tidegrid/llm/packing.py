@@ -13,8 +13,10 @@ the pieces and looking up their places are distributed.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import pyarrow as pa
@@ -27,41 +29,65 @@ from .common import checkpointed, sql_type
 #: The byte-level pattern by which the tokenizer cuts text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text of these characters only is cut alike by every regex library; any other is given to the tokenizer whole.
-PLAIN = re.compile("[^\t\n\r -~¡-ɏ]")
-WORDS_KEPT = 300_000
+NOT_PLAIN = re.compile("[^\t\n\r -~¡-ɏ]")
+PLAIN_BYTES = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
+
+
+def rank_form(definition: str):
+    """The tokenizer as tiktoken ranks, or None where that is not the same tokenizer.
+
+    It is for byte-level merges without normalization whose ids are in the order of the merges: then the pair of lowest
+    rank is the pair that is merged first, and both libraries give the same ids.
+    """
+    import tiktoken
+
+    spec = json.loads(definition)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    simple = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not simple or spec["normalizer"] or spec["post_processor"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(set(merged)) != len(merged):
+        return None
+    # byte-level files write each byte as one printable character: itself, or the next free one from 256 on
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    byte_of, free = {}, 256
+    for byte in range(256):
+        if byte in printable:
+            byte_of[chr(byte)] = byte
+        else:
+            byte_of[chr(free)] = byte
+            free += 1
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
+    if len(merged) + 256 != len(ranks) or max(ranks[bytes([b])] for b in range(256)) > min(merged):
+        return None
+    return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Words are encoded once and remembered; their ids don't depend on neighbours."""
+    """Token ids as little-endian bytes, as the tokenizer gives them."""
 
     def __init__(self, definition: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.cut = regex.compile(PIECES).findall
-        self.known: dict[str, bytes] = {}
+        self.ranked = rank_form(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def plain(self, text: str) -> bool:
+        try:
+            if text.encode("latin-1").translate(None, PLAIN_BYTES):
+                return False
+        except UnicodeEncodeError:
+            if NOT_PLAIN.search(text):
+                return False
+        return not any(s in text for s in self.special)
 
     def __call__(self, text: str) -> bytes:
-        if PLAIN.search(text) or any(s in text for s in self.special):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = self.cut(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = list({w for w in words if w not in known})
-            if len(known) + len(missing) > WORDS_KEPT:
-                known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = self.packed(e.ids)
-            return b"".join(map(known.__getitem__, words))
+        if self.ranked is not None and self.plain(text):
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def cut_points(tokens: int, capacity: int) -> list[tuple[int, int]]:
