@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import share_package
 
-#: Java and RE2 class of the white space that separates words.
+#: The white space that separates words, as patterns and as characters; a character of a word.
 SPACE_CLASS = r"[ \t\n\x0B\f\r]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = " \t\n\x0b\f\r"
+WORD = r"[^ \t\n\x0B\f\r]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
