@@ -10,7 +10,7 @@ built over regions that the groups themselves give. Two sets that differ in at m
 groups: of d + 1 groups that are not empty, one has the same tokens in both. A region is a group's number, count and
 checksum; documents meet only there. Per region the documents are first held against the region's smallest id (a hub):
 a number of pairs in proportion to the documents, which joins copies and near copies of a group however large it is. Only
-where a connected set of regions still holds several components are its documents put into R-trees and joined.
+where a region of three or more still holds several components are its documents put into R-trees and joined.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, checkpointed, gram_hashes, mix, word_hashes
+from .common import blocks_for, by_bytes, checkpointed, gram_hashes, mix, word_hashes
 from .components import connected_components
 
 #: Sizes of one class differ by this factor at most.
@@ -155,17 +155,62 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -
     tree = CountTree(np.stack([count_vector(s) for s in sets]), np.array([len(s) for s in sets]))
     labels, out = labels.copy(), []
     for i, j in tree.pairs(num, den):
-        for a, b in zip(i.tolist(), j.tolist(), strict=True) if (labels[i] != labels[j]).any() else ():
+        apart = labels[i] != labels[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
             if labels[a] != labels[b] and linked(sets[a], sets[b], num, den):
                 out.append((a, b))
                 labels[labels == labels[b]] = labels[a]
     return out
 
 
+def undecided(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which documents the bound leaves a possible link to one of another label."""
+    out = np.zeros(len(sizes), bool)
+    for i, j in CountTree(points, sizes).pairs(num, den):
+        apart = labels[i] != labels[j]
+        out[i[apart]] = True
+        out[j[apart]] = True
+    return out
+
+
 def _texts(df: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def _per_text(words: int, of):
+    """A mapInArrow function from (doc_id, text): of(set) gives the values of the other columns."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows = [of(s) for a, b in by_bytes(texts) for s in shingle_sets(texts[a:b], words)]
+            yield batch.column(0), rows
+
+    return run
+
+
+def _verified(pairs: DataFrame, known: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose texts are linked."""
+    involved = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = _texts(known, involved, involved.count() <= FEW_IDS)
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "text", "a_text")
+
+    def verify(batches):
+        last, last_set = None, None
+        for batch in batches:
+            others, texts = batch.column(3).to_pylist(), batch.column(2).to_pylist()
+            good: list[bool] = []
+            for a, b in by_bytes(texts):
+                for s, h in zip(shingle_sets(texts[a:b], words), others[a:b], strict=True):
+                    if h != last:
+                        last, last_set = h, shingle_sets([h], words)[0]
+                    good.append(linked(s, last_set, num, den))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
 def jaccard_components(df: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for each row of df.
 
@@ -178,82 +223,113 @@ def jaccard_components(df: DataFrame, *, words: int = 5, similarity: tuple[int,
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    def sizes(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [len(s) for a, b in by_bytes(texts) for s in shingle_sets(texts[a:b], words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
-
     def keys(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in by_bytes(texts):
-                found = [regions(s, num, den) if len(s) else s for s in shingle_sets(texts[a:b], words)]
-                bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                flat = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "regions"])
+        for ids, found in _per_text(words, lambda s: regions(s, num, den) if len(s) else s)(batches):
+            bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "regions"])
 
-    in_region = known.mapInArrow(keys, "doc_id long, regions array<long>").select("doc_id", F.explode("regions").alias("region"))
-    hubs = in_region.groupBy("region").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", "hub")
-    pairs = in_region.join(hubs, "region").filter("doc_id <> hub").select("doc_id", "hub").distinct()
-    pairs = checkpointed(pairs)
-    few = pairs.count() <= FEW_IDS // 2
+    def points(batches):
+        for ids, found in _per_text(words, lambda s: (len(s), np.minimum(count_vector(s), 65535).astype("<u2").tobytes()))(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], ["doc_id", "n", "point"])
 
-    # each document against its hubs
-    involved = pairs.select("doc_id").union(pairs.select("hub")).distinct()
-    texts = _texts(known, involved, few)
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    def sizes(batches):
+        for ids, found in _per_text(words, len)(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.int64())], ["doc_id", "n_shingles"])
 
-    def verify(batches):
-        for batch in batches:
-            hub_texts, texts = batch.column("hub_text").to_pylist(), batch.column("text").to_pylist()
-            good: list[bool] = []
-            last, last_set = None, None
-            for a, b in by_bytes(texts):
-                for s, h in zip(shingle_sets(texts[a:b], words), hub_texts[a:b], strict=True):
-                    if h != last or last_set is None:
-                        last, last_set = h, shingle_sets([h], words)[0]
-                    good.append(linked(s, last_set, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("doc_id"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
-
-    verified = checkpointed(both.select("hub", "doc_id", "text", "hub_text").mapInArrow(verify, "a long, b long, linked boolean"))
-    fine = checkpointed(connected_components(verified.filter("linked")))
-    labels = fine
-    if not verified.filter("NOT linked").isEmpty():
-        coarse = connected_components(verified)
-        members = verified.select(F.col("a").alias("id")).union(verified.select("b")).distinct()
-        members = members.join(coarse.withColumnRenamed("label", "region"), "id", "left").join(fine.withColumnRenamed("label", "own"), "id", "left").select("id", F.coalesce("region", "id").alias("region"), F.coalesce("own", "id").alias("own"))
-        # a region of two documents has been decided by its one pair
-        open_ = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("n > 2 AND lo <> hi").select("region", "n")
-        members = checkpointed(members.join(open_, "region"))
-        if not members.isEmpty():
-            labels = _joined(known, members, fine, words, num, den)
+    in_region = known.mapInArrow(keys, "doc_id long, regions array<long>").select("doc_id", F.explode("regions").alias("region"))
+    shared = in_region.groupBy("region").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = in_region.join(shared, "region")
+    # regions with the same documents are one; a larger region than a tile keeps its own rows
+    same = met.filter(F.col("n") <= TILE).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
+    large = met.filter(F.col("n") > TILE).select(F.array("hub", "doc_id").alias("ids"), "region", "n")
+    places = checkpointed(same.select("ids", F.lit(None).cast("long").alias("region"), F.size("ids").cast("long").alias("n")).unionByName(large))
+
+    # every document against the hub of each of its regions
+    spokes = places.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("b")).filter("a <> b").distinct()
+    spokes = checkpointed(spokes)
+    involved = checkpointed(spokes.select(F.col("a").alias("doc_id")).union(spokes.select("b")).distinct())
+    vectors = checkpointed(_texts(known, involved, involved.count() <= FEW_IDS).mapInArrow(points, "doc_id long, n long, point binary"))
+    candidates = checkpointed(_bounded(spokes, vectors, num, den))
+    fine = checkpointed(connected_components(_verified(candidates, known, words, num, den)))
+    labels = _joined(known, places, vectors, fine, words, num, den)
     own = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("component_id"))
     counted = docs.mapInArrow(sizes, "doc_id long, n_shingles long")
     return counted.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _joined(known: DataFrame, members: DataFrame, fine: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that the summed minima of their count vectors leave."""
+    both = pairs.join(vectors.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("point").alias("b_point")), "b").join(vectors.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("point").alias("a_point")), "a")
+
+    def bound(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, DIMENSIONS) for k in ("a_point", "b_point"))
+                most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+                # a coordinate kept as 65535 may be larger, and then the sum is no bound
+                keep = pa.array(((den + num) * most >= num * n) | (np.maximum(a, b).max(axis=1) == 65535))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(bound, "a long, b long").distinct()
+
+
+def _joined(known: DataFrame, places: DataFrame, vectors: DataFrame, fine: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Labels after the R-tree joins of the regions that hold several components.
 
-    A region of more than TILE documents is cut into leaves by the ids' hashes, and each pair of leaves is a tile.
+    A region of more than TILE documents is cut into leaves by the ids' hashes, and each pair of leaves is a tile. Many
+    small regions go to one call. A first pass over the points alone finds the documents that may have a link to another
+    component; only their texts are read, for the second.
     """
-    few = members.count() <= FEW_IDS
-    leaves = F.ceil(F.col("n") / TILE).cast("int")
-    tiles = members.withColumn("leaf", F.pmod(F.xxhash64("id"), leaves).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), leaves - 1)))
-    tiles = tiles.select("id", "region", "own", F.least("leaf", "other").alias("tile_a"), F.greatest("leaf", "other").alias("tile_b"), F.col("id").alias("doc_id"))
-    texts = _texts(known, members.select(F.col("id").alias("doc_id")).distinct(), few)
+    small = places.filter("region IS NULL AND n > 2").select(F.xxhash64("ids").alias("region"), F.lit(1).alias("leaves"), F.explode("ids").alias("id"))
+    large = places.filter("region IS NOT NULL").select("region", F.ceil(F.col("n") / TILE).cast("int").alias("leaves"), F.element_at("ids", 2).alias("id"))
+    rows = small.union(large).join(fine, "id", "left").select("region", "leaves", "id", F.coalesce("label", "id").alias("label"))
+    mixed = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
+    rows = checkpointed(rows.join(mixed, "region", "left_semi"))
+    n = rows.count()
+    if not n:
+        return fine
+    tiles = rows.withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    tile = F.xxhash64("region", F.least("leaf", "other"), F.greatest("leaf", "other")).alias("tile")
+    calls = blocks_for(n, 16 * TILE, 12)
+    tiles = tiles.select(tile, "id", "label", F.when(F.col("leaves") == 1, F.pmod("region", F.lit(calls))).otherwise(F.xxhash64("region", F.least("leaf", "other"), F.greatest("leaf", "other"))).alias("call"))
+
+    def groups(table: pa.Table):
+        tile = table.column("tile").to_numpy()
+        order = np.argsort(tile, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            if len(part) > 1:
+                yield part
+
+    def open_(table: pa.Table) -> pa.Table:
+        label, size = table.column("label").to_numpy(), table.column("n").to_numpy()
+        point = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, DIMENSIONS).astype(np.int32)
+        point[point == 65535] = 1 << 30
+        keep = np.zeros(len(label), bool)
+        for part in groups(table):
+            keep[part] = undecided(point[part], size[part], label[part], num, den)
+        return table.select(["call", "tile", "id", "label"]).filter(pa.array(keep))
+
+    placed = tiles.join(vectors.withColumnRenamed("doc_id", "id"), "id").select("call", "tile", "id", "label", "n", "point")
+    left = checkpointed(placed.groupBy("call").applyInArrow(open_, "call long, tile long, id long, label long"))
+    if left.isEmpty():
+        return fine
+    ids = left.select(F.col("id").alias("doc_id")).distinct()
+    texts = _texts(known, ids, left.count() <= FEW_IDS).withColumnRenamed("doc_id", "id")
 
     def join(table: pa.Table) -> pa.Table:
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        texts = table.column("text").to_pylist()
-        order = np.argsort(ids, kind="stable")
-        sets = [s for a, b in by_bytes(texts) for s in shingle_sets(texts[a:b], words)]
-        order = [i for i in order.tolist() if len(sets[i])]
-        found = tree_links([sets[i] for i in order], own[order], num, den) if len(order) > 1 else []
-        return pa.table({"a": pa.array([int(own[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(own[order[j]]) for _, j in found], pa.int64())})
-
-    more = checkpointed(tiles.join(texts, "doc_id").select("region", "tile_a", "tile_b", "id", "own", "text").groupBy("region", "tile_a", "tile_b").applyInArrow(join, "a long, b long"))
+        label, texts = table.column("label").to_numpy(), table.column("text").to_pylist()
+        found_a, found_b = [], []
+        for part in groups(table):
+            own = [texts[i] for i in part]
+            sets = [s for a, b in by_bytes(own) for s in shingle_sets(own[a:b], words)]
+            for i, j in tree_links(sets, label[part], num, den):
+                found_a.append(int(label[part[i]]))
+                found_b.append(int(label[part[j]]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    more = checkpointed(left.join(texts, "id").select("call", "tile", "id", "label", "text").groupBy("call").applyInArrow(join, "a long, b long"))
     merged = connected_components(more).select(F.col("id").alias("own"), F.col("label").alias("merged"))
     everyone = fine.union(merged.select("own", "own")).distinct()
     return checkpointed(everyone.withColumnRenamed("label", "own").join(merged, "own", "left").select("id", F.coalesce("merged", "own").alias("label")))
