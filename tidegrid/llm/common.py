@@ -88,8 +88,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, in order, and each text's first word (one entry more than texts).
 
-    A word is a run without ASCII white space; A-Z count as a-z. A null text has no words.
+    A word is a run without ASCII white space; A-Z count as a-z. A null text has no words. About a MB of text is
+    hashed at a time, as it takes some forty bytes of memory a byte.
     """
+    parts = [_word_hashes(texts[a:b]) for a, b in by_bytes(texts, 1 << 20)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.cumsum(sizes)
+
+
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     encoded = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     if not len(data):

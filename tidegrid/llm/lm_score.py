@@ -44,40 +44,41 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a batch of texts, by order: the distinct hashes, and for each place which one it is."""
+    """The n-grams of a batch of texts."""
 
-    def __init__(self, texts: list[str | None], order: int, bits: int):
-        words, self.at = word_hashes(texts)
+    def __init__(self, texts: list[str | None], bits: int):
+        self.words, self.at = word_hashes(texts)
         self.n_words = np.diff(self.at)
-        doc = np.repeat(np.arange(len(texts)), self.n_words)
-        self.distinct, self.which, self.places = [], [], []
-        for n in range(1, order + 1):
-            grams = gram_hashes(words, n) >> np.uint64(64 - bits)
-            inside = doc[: len(grams)] == doc[n - 1 :] if len(grams) else np.zeros(0, bool)
-            places = np.flatnonzero(inside)
-            distinct, which = np.unique(grams[places], return_inverse=True)
-            self.distinct.append(distinct)
-            self.which.append(which)
-            self.places.append(places)
-        self.doc = doc
-
-    def counts(self, k: int) -> np.ndarray:
-        return np.bincount(self.which[k], minlength=len(self.distinct[k]))
-
-    def elsewhere(self, k: int, total: np.ndarray) -> np.ndarray:
-        """For each word's place, the count of the n-gram that starts there in all other documents; 0 where none starts."""
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_words)
+        self.shift = np.uint64(64 - bits)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams that lie within one text, and the places where they start."""
+        grams = gram_hashes(self.words, n) >> self.shift
+        places = np.flatnonzero(self.doc[: len(grams)] == self.doc[n - 1 :]) if len(grams) else np.zeros(0, np.int64)
+        return grams[places], places
+
+    def elsewhere(self, n: int, total: np.ndarray) -> np.ndarray:
+        """For each word's place, the count of the n-gram that starts there in all other documents; 0 where none starts.
+
+        total: the corpus counts of the distinct n-grams of the batch, in order of their hashes.
+        """
         out = np.zeros(len(self.doc), np.int64)
-        if len(self.places[k]):
-            key = self.doc[self.places[k]] * len(self.distinct[k]) + self.which[k]
+        grams, places = self.of(n)
+        distinct, which = np.unique(grams, return_inverse=True)
+        if len(distinct) != len(total):
+            raise RuntimeError("a batch was not the same when it was read again")
+        if len(places):
+            key = self.doc[places].astype(np.int64) * len(distinct) + which
             _, back, own = np.unique(key, return_inverse=True, return_counts=True)
-            out[self.places[k]] = total[self.which[k]] - own[back]
+            out[places] = total[which] - own[back]
         return out
 
 
 def document_scores(grams: Grams, totals: list[np.ndarray], all_words: int) -> np.ndarray:
     """Sum of the log scores of each text's words."""
     order = len(totals)
-    seen = [grams.elsewhere(k, totals[k]) for k in range(order)]
+    seen = [grams.elsewhere(k + 1, totals[k]) for k in range(order)]
     place = np.arange(len(grams.doc)) - grams.at[:-1][grams.doc]
     others = np.maximum(1, all_words - grams.n_words[grams.doc])
     # unigrams, and below them one more step back
@@ -94,7 +95,7 @@ def document_scores(grams: Grams, totals: list[np.ndarray], all_words: int) -> n
     return np.where(grams.n_words > 0, sums, 0.0)
 
 
-def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12 << 20, least_batches: int = 12, seed: int = 11) -> DataFrame:
+def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, least_batches: int = 12, seed: int = 11) -> DataFrame:
     """doc_id, n_words, log_score (natural, summed) and mean_log_score of each row of df.
 
     Words are runs without ASCII white space, A-Z as a-z. Counts are over all rows; a row's own n-grams are left out for
@@ -111,14 +112,15 @@ def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", tex
     rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(batches)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text").to_pylist(), order, bits)
-        cuts = [np.searchsorted(d >> shift, np.arange(ranges + 1)) for d in grams.distinct]
-        counts = [grams.counts(k) for k in range(order)]
-        asked, times = [], []
-        for r in range(ranges):
-            own = [d[c[r] : c[r + 1]] for d, c in zip(grams.distinct, cuts, strict=True)]
-            asked.append([packed(np.diff(o, prepend=np.uint64(0))) for o in own])
-            times.append([packed(n[c[r] : c[r + 1]]) for n, c in zip(counts, cuts, strict=True)])
+        grams = Grams(table.column("text").to_pylist(), bits)
+        asked: list[list[bytes]] = [[] for _ in range(ranges)]
+        times: list[list[bytes]] = [[] for _ in range(ranges)]
+        for n in range(1, order + 1):
+            distinct, counts = np.unique(grams.of(n)[0], return_counts=True)
+            cuts = np.searchsorted(distinct >> shift, np.arange(ranges + 1))
+            for r in range(ranges):
+                asked[r].append(packed(np.diff(distinct[cuts[r] : cuts[r + 1]], prepend=np.uint64(0))))
+                times[r].append(packed(counts[cuts[r] : cuts[r + 1]]))
         batch = table.column("batch")[0].as_py()
         return pa.table({"range": pa.array(range(ranges), pa.int32()), "batch": pa.array([batch] * ranges, pa.int32()), "grams": pa.array(asked, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.binary()))})
 
@@ -142,12 +144,10 @@ def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", tex
         texts = table.column("text").to_pylist()
         if not texts:
             return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "mean_log_score": pa.array([], pa.float64())})
-        grams = Grams(texts, order, bits)
+        grams = Grams(texts, bits)
         answers = answers.sort_by("range")
         blobs = answers.column("totals").to_pylist()
         totals = [np.concatenate([unpacked(b[k]) for b in blobs]).astype(np.int64) for k in range(order)]
-        if [len(t) for t in totals] != [len(d) for d in grams.distinct]:
-            raise RuntimeError("a batch was not the same when it was read again")
         sums = document_scores(grams, totals, sum(answers.column("words").to_pylist()))
         n = grams.n_words
         mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
