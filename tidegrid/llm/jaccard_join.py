@@ -30,8 +30,12 @@ CLASS_RATIO = 1.5
 DIMENSIONS = 128
 #: Documents of one tile, over which a tree is built in memory.
 TILE = 1024
+#: Documents of a region that are gathered into one row, to find regions that hold the same ones.
+GATHERED = 8192
 #: Ids that are sent to all executors at most; beyond it, tables are joined by shuffle.
 FEW_IDS = 200_000
+#: Regions that are sent to all executors at most (about 32 bytes each).
+FEW_REGIONS = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -164,13 +168,22 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -
 
 
 def undecided(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which documents the bound leaves a possible link to one of another label."""
-    out = np.zeros(len(sizes), bool)
+    """For each document the first of those that possible links between different labels connect it with; -1 for none."""
+    root = np.arange(len(sizes))
+    some = np.zeros(len(sizes), bool)
     for i, j in CountTree(points, sizes).pairs(num, den):
         apart = labels[i] != labels[j]
-        out[i[apart]] = True
-        out[j[apart]] = True
-    return out
+        i, j = i[apart], j[apart]
+        some[i] = some[j] = True
+        while len(i):
+            least = np.minimum(root[i], root[j])
+            before = root.copy()
+            np.minimum.at(root, i, least)
+            np.minimum.at(root, j, least)
+            root = root[root]
+            if (root == before).all():
+                break
+    return np.where(some, root, -1)
 
 
 def _texts(df: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
@@ -238,12 +251,16 @@ def jaccard_components(df: DataFrame, *, words: int = 5, similarity: tuple[int,
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.int64())], ["doc_id", "n_shingles"])
 
     in_region = known.mapInArrow(keys, "doc_id long, regions array<long>").select("doc_id", F.explode("regions").alias("region"))
-    shared = in_region.groupBy("region").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = in_region.join(shared, "region")
-    # regions with the same documents are one; a larger region than a tile keeps its own rows
-    same = met.filter(F.col("n") <= TILE).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
-    large = met.filter(F.col("n") > TILE).select(F.array("hub", "doc_id").alias("ids"), "region", "n")
-    places = checkpointed(same.select("ids", F.lit(None).cast("long").alias("region"), F.size("ids").cast("long").alias("n")).unionByName(large))
+    shared = checkpointed(in_region.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # regions with the same documents are one; a very large region keeps its own rows
+    usual, large = shared.filter(F.col("n") <= GATHERED).select("region"), shared.filter(F.col("n") > GATHERED)
+    met = in_region.join(F.broadcast(usual) if usual.count() <= FEW_REGIONS else usual, "region", "left_semi")
+    places = met.groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
+    places = places.select("ids", F.lit(None).cast("long").alias("region"), F.size("ids").cast("long").alias("n"))
+    if not large.isEmpty():
+        rows = in_region.join(large, "region")
+        places = places.unionByName(rows.join(rows.groupBy("region").agg(F.min("doc_id").alias("hub")), "region").select(F.array("hub", "doc_id").alias("ids"), "region", "n"))
+    places = checkpointed(places)
 
     # every document against the hub of each of its regions
     spokes = places.select(F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("b")).filter("a <> b").distinct()
@@ -275,53 +292,67 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFr
     return both.mapInArrow(bound, "a long, b long").distinct()
 
 
+def _tiles(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (region, n, id, label) as (call, tile, id, label): a region of more than TILE documents is cut into leaves by
+    the ids' hashes, and each pair of leaves is a tile of its own; the tiles of many small regions go to one call."""
+    rows = checkpointed(rows)
+    count = rows.count()
+    calls = blocks_for(count, 16 * TILE, 12)
+    leaves = F.ceil(F.col("n") / TILE).cast("int")
+    cut = rows.withColumn("leaf", F.pmod(F.xxhash64("id"), leaves).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), leaves - 1)))
+    tile = F.xxhash64("region", F.least("leaf", "other"), F.greatest("leaf", "other"))
+    return cut.select(F.when(F.col("n") <= TILE, F.pmod("region", F.lit(calls))).otherwise(tile).alias("call"), tile.alias("tile"), "id", "label"), count
+
+
+def _parts(table: pa.Table):
+    """The rows of each tile of a call."""
+    tile = table.column("tile").to_numpy()
+    order = np.argsort(tile, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        if len(part) > 1:
+            yield part
+
+
 def _joined(known: DataFrame, places: DataFrame, vectors: DataFrame, fine: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Labels after the R-tree joins of the regions that hold several components.
 
-    A region of more than TILE documents is cut into leaves by the ids' hashes, and each pair of leaves is a tile. Many
-    small regions go to one call. A first pass over the points alone finds the documents that may have a link to another
-    component; only their texts are read, for the second.
+    A first pass over the points alone finds which documents may have links to other components. What such links
+    connect is one group; the texts of a group are read once, and its trees are joined with verification.
     """
-    small = places.filter("region IS NULL AND n > 2").select(F.xxhash64("ids").alias("region"), F.lit(1).alias("leaves"), F.explode("ids").alias("id"))
-    large = places.filter("region IS NOT NULL").select("region", F.ceil(F.col("n") / TILE).cast("int").alias("leaves"), F.element_at("ids", 2).alias("id"))
-    rows = small.union(large).join(fine, "id", "left").select("region", "leaves", "id", F.coalesce("label", "id").alias("label"))
+    small = places.filter("region IS NULL AND n > 2").select(F.xxhash64("ids").alias("region"), "n", F.explode("ids").alias("id"))
+    large = places.filter("region IS NOT NULL").select("region", "n", F.element_at("ids", 2).alias("id"))
+    rows = small.union(large).join(fine, "id", "left").select("region", "n", "id", F.coalesce("label", "id").alias("label"))
     mixed = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
-    rows = checkpointed(rows.join(mixed, "region", "left_semi"))
-    n = rows.count()
-    if not n:
+    tiles, count = _tiles(rows.join(mixed, "region", "left_semi"))
+    if not count:
         return fine
-    tiles = rows.withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-    tile = F.xxhash64("region", F.least("leaf", "other"), F.greatest("leaf", "other")).alias("tile")
-    calls = blocks_for(n, 16 * TILE, 12)
-    tiles = tiles.select(tile, "id", "label", F.when(F.col("leaves") == 1, F.pmod("region", F.lit(calls))).otherwise(F.xxhash64("region", F.least("leaf", "other"), F.greatest("leaf", "other"))).alias("call"))
-
-    def groups(table: pa.Table):
-        tile = table.column("tile").to_numpy()
-        order = np.argsort(tile, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
-            if len(part) > 1:
-                yield part
 
     def open_(table: pa.Table) -> pa.Table:
-        label, size = table.column("label").to_numpy(), table.column("n").to_numpy()
+        ids, label, size = (table.column(c).to_numpy() for c in ("id", "label", "n"))
         point = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, DIMENSIONS).astype(np.int32)
-        point[point == 65535] = 1 << 30
-        keep = np.zeros(len(label), bool)
-        for part in groups(table):
-            keep[part] = undecided(point[part], size[part], label[part], num, den)
-        return table.select(["call", "tile", "id", "label"]).filter(pa.array(keep))
+        point[point == 65535] = 1 << 20
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in _parts(table):
+            root = undecided(point[part], size[part], label[part], num, den)
+            a.append(ids[part[root >= 0]])
+            b.append(ids[part[root[root >= 0]]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     placed = tiles.join(vectors.withColumnRenamed("doc_id", "id"), "id").select("call", "tile", "id", "label", "n", "point")
-    left = checkpointed(placed.groupBy("call").applyInArrow(open_, "call long, tile long, id long, label long"))
-    if left.isEmpty():
+    ties = checkpointed(placed.groupBy("call").applyInArrow(open_, "a long, b long").distinct())
+    if ties.isEmpty():
         return fine
-    ids = left.select(F.col("id").alias("doc_id")).distinct()
-    texts = _texts(known, ids, left.count() <= FEW_IDS).withColumnRenamed("doc_id", "id")
+    group = connected_components(ties)
+    rows = ties.select(F.col("a").alias("id")).distinct().join(group.withColumnRenamed("label", "region"), "id", "left").join(fine, "id", "left")
+    rows = checkpointed(rows.select(F.coalesce("region", "id").alias("region"), "id", F.coalesce("label", "id").alias("label")))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    tiles, count = _tiles(rows.join(sizes, "region").select("region", "n", "id", "label"))
+    texts = _texts(known, rows.select(F.col("id").alias("doc_id")), count <= FEW_IDS).withColumnRenamed("doc_id", "id")
 
     def join(table: pa.Table) -> pa.Table:
         label, texts = table.column("label").to_numpy(), table.column("text").to_pylist()
         found_a, found_b = [], []
-        for part in groups(table):
+        for part in _parts(table):
             own = [texts[i] for i in part]
             sets = [s for a, b in by_bytes(own) for s in shingle_sets(own[a:b], words)]
             for i, j in tree_links(sets, label[part], num, den):
@@ -329,7 +360,7 @@ def _joined(known: DataFrame, places: DataFrame, vectors: DataFrame, fine: DataF
                 found_b.append(int(label[part[j]]))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    more = checkpointed(left.join(texts, "id").select("call", "tile", "id", "label", "text").groupBy("call").applyInArrow(join, "a long, b long"))
+    more = checkpointed(tiles.join(texts, "id").select("call", "tile", "id", "label", "text").groupBy("call").applyInArrow(join, "a long, b long"))
     merged = connected_components(more).select(F.col("id").alias("own"), F.col("label").alias("merged"))
     everyone = fine.union(merged.select("own", "own")).distinct()
     return checkpointed(everyone.withColumnRenamed("label", "own").join(merged, "own", "left").select("id", F.coalesce("merged", "own").alias("label")))

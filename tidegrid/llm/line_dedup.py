@@ -22,19 +22,25 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, SPACES, WORD, checkpointed
 
 #: Lines that are sent to all executors at most (about 24 bytes each); beyond it tables are joined by shuffle.
-FEW_LINES = 300_000
+FEW_LINES = 500_000
+#: Tokens that are sent to all executors at most (about 32 bytes each).
+FEW_TOKENS = 2_000_000
 
 
 def line_words(line: Column) -> Column:
     """Words of a line that is not blank."""
-    return F.split(F.btrim(F.lower(line), F.lit(SPACES)), SPACE_CLASS)
+    # most lines have single spaces between words, and a split at one character needs no pattern matching
+    simple = ~line.rlike(r"[\t\x0B\f\r]|  |^ | $")
+    low = F.lower(line)
+    return F.when(simple, F.split(low, " ")).otherwise(F.split(F.btrim(low, F.lit(SPACES)), SPACE_CLASS))
 
 
 def line_tokens(w: Column, words: int) -> Column:
     """Distinct hashes of the runs of `words` words, ascending; of all words, if there are fewer."""
     short = F.array(F.xxhash64(F.lit(-1), w))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))
-    return F.when(F.size(w) < words, short).otherwise(F.sort_array(F.array_distinct(runs)))
+    # words by place: slice() would copy the whole array for each run
+    runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, words))))
+    return F.when(F.size(w) < words, short).otherwise(F.sort_array(F.array_distinct(F.slice(runs, F.lit(1), F.size(w) - (words - 1)))))
 
 
 def prefix_length(n: Column, num: int, den: int) -> Column:
@@ -47,6 +53,11 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.filter(F.col("line").rlike(WORD)).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
 
 
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """A written table, to be sent to all executors if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _earlier(a: str, b: str) -> Column:
     return F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
 
@@ -61,33 +72,30 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     """
     num, den = similarity
     docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _lines(docs, "doc_id", "text")
-    tokens = line_tokens(F.col("w"), words)
-    # two hashes of the words: lines with both equal are equal
-    seen = lines.select("doc_id", "line_no", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), F.size("w"), "w").alias("k2"), tokens.alias("t"))
-    seen = checkpointed(seen.select("doc_id", "line_no", "k1", "k2", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), num, den)).alias("prefix")))
+    lines = _lines(docs, "doc_id", "text").select("doc_id", "line_no", F.xxhash64("w").alias("k1"), line_tokens(F.col("w"), words).alias("t"))
+    # two hashes, one of the words and one of the runs: lines with both equal are equal
+    prefix = F.slice("t", F.lit(1), prefix_length(F.size("t"), num, den))
+    seen = checkpointed(lines.select("doc_id", "line_no", "k1", F.xxhash64("t").alias("k2"), prefix.alias("prefix")))
 
     first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    repeated = first.filter("copies > 1").select("k1", "k2", F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"))
-    equal = seen.select("doc_id", "line_no", "k1", "k2").join(repeated, ["k1", "k2"])
-    gone_equal = equal.filter("doc_id <> f_doc OR line_no <> f_line")
+    first = first.select("k1", "k2", F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"), "copies")
+    gone_equal = seen.select("doc_id", "line_no", "k1", "k2").join(first.filter("copies > 1"), ["k1", "k2"]).filter("doc_id <> f_doc OR line_no <> f_line")
 
-    # 1: prefixes in the order of hashes. Equal lines have equal prefixes, so a token counts once for each different line
-    entries = seen.select("k1", "k2", "doc_id", "line_no", F.explode("prefix").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("k1").alias("lo1"), F.max("k1").alias("hi1"), F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).filter("lo1 <> hi1 OR lo2 <> hi2").select("token")
-    active = entries.join(shared, "token", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    active = checkpointed(active.select(F.col("f.doc_id").alias("doc_id"), F.col("f.line_no").alias("line_no")).distinct())
+    # 1: prefixes in the order of hashes. Equal lines have equal prefixes, so a token needs two different lines
+    entries = seen.select(F.explode("prefix").alias("token"), "k1")
+    shared = entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("token")
+    shared = checkpointed(shared)
+    meets = entries.join(_sent(shared, FEW_TOKENS), "token", "left_semi").select("k1").distinct()
+    active = checkpointed(first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no")))
 
     # 2: the whole sets of those lines, in order of rarity
-    few = active.count() <= FEW_LINES
-    of = active.select("doc_id").distinct()
-    near_docs = docs.join(F.broadcast(of) if few else of, "doc_id", "left_semi")
-    near_lines = _lines(near_docs, "doc_id", "text").join(F.broadcast(active) if few else active, ["doc_id", "line_no"])
-    sets = checkpointed(near_lines.select("doc_id", "line_no", tokens.alias("t")))
+    near_docs = docs.join(_sent(checkpointed(active.select("doc_id").distinct()), FEW_LINES), "doc_id", "left_semi")
+    near_lines = _lines(near_docs, "doc_id", "text").join(_sent(active, FEW_LINES), ["doc_id", "line_no"])
+    sets = checkpointed(near_lines.select("doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
     held = sets
     spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
-    common = spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    met = spread.join(common, "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("met"))
+    common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
+    met = spread.join(_sent(common, FEW_TOKENS), "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("met"))
     # tokens of one line only come first in the order, and no line meets another there
     ordered = sets.join(met, ["doc_id", "line_no"]).select("doc_id", "line_no", F.size("t").alias("n"), "met")
     unique = F.col("n") - F.size("met")
@@ -120,9 +128,11 @@ def _filtered(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    a = held.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("t").alias("a_t"))
-    b = held.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("t").alias("b_t"))
-    both = pairs.join(b, ["b_doc", "b_line"]).join(a, ["a_doc", "a_line"])
+    pairs = checkpointed(pairs)
+    sent = _sent(pairs, FEW_LINES)
+    b = held.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("t").alias("b_t")).join(sent, ["b_doc", "b_line"])
+    a = held.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("t").alias("a_t")).join(_sent(pairs.select("a_doc", "a_line").distinct(), FEW_LINES), ["a_doc", "a_line"], "left_semi")
+    both = b.join(a, ["a_doc", "a_line"])
     sized = both.select("a_doc", "a_line", "b_doc", "b_line", F.size(F.array_intersect("a_t", "b_t")).alias("shared"), (F.size("a_t") + F.size("b_t")).alias("sum"))
     return sized.filter(F.col("shared") * den >= (F.col("sum") - F.col("shared")) * num).select("a_doc", "a_line", "b_doc", "b_line", "shared", (F.col("sum") - F.col("shared")).alias("either"))
 
