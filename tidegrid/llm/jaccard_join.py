@@ -35,7 +35,7 @@ GATHERED = 8192
 #: Ids that are sent to all executors at most; beyond it, tables are joined by shuffle.
 FEW_IDS = 200_000
 #: Regions that are sent to all executors at most (about 32 bytes each).
-FEW_REGIONS = 2_000_000
+FEW_REGIONS = 100_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -168,7 +168,10 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -
 
 
 def undecided(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """For each document the first of those that possible links between different labels connect it with; -1 for none."""
+    """For each document the first of those that possible links between different labels connect it with; -1 for none.
+
+    With documents in order of their ids, those of one group have few firsts over all its regions.
+    """
     root = np.arange(len(sizes))
     some = np.zeros(len(sizes), bool)
     for i, j in CountTree(points, sizes).pairs(num, den):
@@ -305,9 +308,9 @@ def _tiles(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _parts(table: pa.Table):
-    """The rows of each tile of a call."""
+    """The rows of each tile of a call, in order of their ids."""
     tile = table.column("tile").to_numpy()
-    order = np.argsort(tile, kind="stable")
+    order = np.lexsort((table.column("id").to_numpy(), tile))
     for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
         if len(part) > 1:
             yield part

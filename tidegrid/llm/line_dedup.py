@@ -90,8 +90,9 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
 
     # 2: the whole sets of those lines, in order of rarity
     near_docs = docs.join(_sent(checkpointed(active.select("doc_id").distinct()), FEW_LINES), "doc_id", "left_semi")
-    near_lines = _lines(near_docs, "doc_id", "text").join(_sent(active, FEW_LINES), ["doc_id", "line_no"])
-    sets = checkpointed(near_lines.select("doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
+    near_lines = _lines(near_docs, "doc_id", "text").withColumn("id", _line_id("doc_id", "line_no"))
+    near_lines = near_lines.join(_sent(active.select("doc_id", "line_no", _line_id("doc_id", "line_no").alias("id")), FEW_LINES).toDF("a_doc", "a_line", "id"), "id").filter(_same("a"))
+    sets = checkpointed(near_lines.select("id", "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
     held = sets
     spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
     common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
@@ -127,12 +128,20 @@ def _filtered(met: DataFrame, num: int, den: int) -> DataFrame:
     return met.filter(fine).select("a_doc", "a_line", "b_doc", "b_line").distinct()
 
 
+def _line_id(doc: str, line: str) -> Column:
+    """One number to join lines on, as tables keyed by one number are sent in little memory; _same() then tells lines apart."""
+    return F.xxhash64(doc, line)
+
+
+def _same(side: str) -> Column:
+    return F.abs(F.col("doc_id") - F.col(f"{side}_doc")) + F.abs(F.col("line_no") - F.col(f"{side}_line")) < 1
+
+
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    pairs = checkpointed(pairs)
-    sent = _sent(pairs, FEW_LINES)
-    b = held.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("t").alias("b_t")).join(sent, ["b_doc", "b_line"])
-    a = held.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("t").alias("a_t")).join(_sent(pairs.select("a_doc", "a_line").distinct(), FEW_LINES), ["a_doc", "a_line"], "left_semi")
-    both = b.join(a, ["a_doc", "a_line"])
+    pairs = checkpointed(pairs.select("*", _line_id("a_doc", "a_line").alias("a_id"), _line_id("b_doc", "b_line").alias("b_id")))
+    b = held.join(_sent(pairs.withColumn("id", F.col("b_id")), FEW_LINES), "id").filter(_same("b")).select("a_id", "a_doc", "a_line", "b_doc", "b_line", F.col("t").alias("b_t"))
+    a = held.join(_sent(pairs.select(F.col("a_id").alias("id")).distinct(), FEW_LINES), "id", "left_semi").select(F.col("id").alias("a_id"), "doc_id", "line_no", F.col("t").alias("a_t"))
+    both = b.join(a, "a_id").filter(_same("a"))
     sized = both.select("a_doc", "a_line", "b_doc", "b_line", F.size(F.array_intersect("a_t", "b_t")).alias("shared"), (F.size("a_t") + F.size("b_t")).alias("sum"))
     return sized.filter(F.col("shared") * den >= (F.col("sum") - F.col("shared")) * num).select("a_doc", "a_line", "b_doc", "b_line", "shared", (F.col("sum") - F.col("shared")).alias("either"))
 
