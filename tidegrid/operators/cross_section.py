@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..plans.expression import average_rank
 from ..semantics import DELIST_AFTER, HALF_SPREAD, PRICE_LIMIT, SHORTEST, WINSOR, Z_LIMIT
-from ..sources.market import BY_SYMBOL
+from ..sources.market import by_symbol
 
-DAY = Window.partitionBy("date")
+
+def day() -> WindowSpec:
+    """All symbols of a date."""
+    return Window.partitionBy("date")
 
 
 def winsorized(df: DataFrame, columns: list[str], share: float = WINSOR) -> DataFrame:
     """Each value kept within its date's lower and upper quantile of that share."""
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.percentile(c, F.lit(share)).over(DAY)), F.percentile(c, F.lit(1 - share)).over(DAY))) for c in columns})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.percentile(c, F.lit(share)).over(day())), F.percentile(c, F.lit(1 - share)).over(day()))) for c in columns})
 
 
 def zscores(df: DataFrame, columns: list[str], missing: float | None = None) -> DataFrame:
     """Mean 0 and population deviation 1 over each date; a column without spread is 0. missing: what a null becomes."""
 
     def z(c: str) -> Column:
-        sd = F.stddev_pop(c).over(DAY)
-        out = F.when(F.col(c).isNotNull(), F.when(sd > 1e-12 * F.abs(F.avg(c).over(DAY)), (F.col(c) - F.avg(c).over(DAY)) / sd).otherwise(0.0))
+        sd = F.stddev_pop(c).over(day())
+        out = F.when(F.col(c).isNotNull(), F.when(sd > 1e-12 * F.abs(F.avg(c).over(day())), (F.col(c) - F.avg(c).over(day())) / sd).otherwise(0.0))
         return out if missing is None else F.coalesce(out, F.lit(missing))
 
     return df.withColumns({c: z(c) for c in columns})
@@ -42,7 +45,7 @@ def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scaled_down(df: DataFrame, column: str, most: float = 1.0) -> DataFrame:
     """Weights whose absolute sum is `most` or less, shrunk where it is more."""
-    return df.withColumn(column, F.col(column) / F.greatest(F.sum(F.abs(F.col(column))).over(DAY) / most, F.lit(1.0)))
+    return df.withColumn(column, F.col(column) / F.greatest(F.sum(F.abs(F.col(column))).over(day()) / most, F.lit(1.0)))
 
 
 def industry_dummies(df: DataFrame, tags: list[str]) -> DataFrame:
@@ -53,14 +56,14 @@ def industry_dummies(df: DataFrame, tags: list[str]) -> DataFrame:
 def nonlinear_size(df: DataFrame, size: str) -> DataFrame:
     """The cube of standardized size, without what size itself explains."""
     df = zscores(df.withColumn("_z", F.col(size)), ["_z"])
-    slope = F.sum(F.pow("_z", F.lit(4.0))).over(DAY) / F.nullif(F.sum(F.pow("_z", F.lit(2.0))).over(DAY), F.lit(0.0))
+    slope = F.sum(F.pow("_z", F.lit(4.0))).over(day()) / F.nullif(F.sum(F.pow("_z", F.lit(2.0))).over(day()), F.lit(0.0))
     return df.withColumn("NLSIZE", F.pow("_z", F.lit(3.0)) - F.coalesce(slope, F.lit(0.0)) * F.col("_z")).drop("_z")
 
 
 def cap_weighted_top(df: DataFrame, k: int, cap: str = "cap") -> DataFrame:
     """(date, symbol, weight): the k largest capitalisations of each date, weighted by them; ties to the smaller symbol."""
-    ranked = df.filter(F.col(cap) > 0).withColumn("_n", F.row_number().over(DAY.orderBy(F.desc(cap), "symbol"))).filter(F.col("_n") <= k)
-    return ranked.select("date", "symbol", (F.col(cap) / F.sum(cap).over(DAY)).alias("weight"))
+    ranked = df.filter(F.col(cap) > 0).withColumn("_n", F.row_number().over(day().orderBy(F.desc(cap), "symbol"))).filter(F.col("_n") <= k)
+    return ranked.select("date", "symbol", (F.col(cap) / F.sum(cap).over(day())).alias("weight"))
 
 
 def quotes(df: DataFrame) -> DataFrame:
@@ -69,8 +72,8 @@ def quotes(df: DataFrame) -> DataFrame:
     Limits are from the last close before, rounded to cents; the first close has none. Without a close there is no quote. A
     symbol counts as listed until more than DELIST_AFTER ticks are missing in a row.
     """
-    before = F.last("close", ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, -1))
-    seen = F.max(F.when(F.col("close").isNotNull(), F.col("t"))).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.max(F.when(F.col("close").isNotNull(), F.col("t"))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     cents = lambda x: F.floor(x * 100 + 0.5) / 100
     low, high = cents(before * (1 - PRICE_LIMIT)), cents(before * (1 + PRICE_LIMIT))
     bid, ask = F.col("close") - HALF_SPREAD, F.col("close") + HALF_SPREAD
@@ -149,7 +152,7 @@ def range_momentum(df: DataFrame, amplitude: str, ret: str, window: int) -> Colu
 
     Days of equal amplitude are in order of time.
     """
-    w = BY_SYMBOL.rowsBetween(1 - window, 0)
+    w = by_symbol().rowsBetween(1 - window, 0)
     both = F.col(amplitude).isNotNull() & F.col(ret).isNotNull()
     days = F.array_sort(F.collect_list(F.when(both, F.struct(F.col(amplitude).alias("a"), F.col("t").alias("t"), F.col(ret).alias("r")))).over(w))
     m = F.size(days)

@@ -8,16 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..semantics import SPECIFIC_FLOOR
-from ..sources.market import BY_SYMBOL
+from ..sources.market import by_symbol
 
 # -- factor premiums ---------------------------------------------------------------------------------------------------
 
 
 def training_pairs(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Rows with the features of one tick and the target of the next, where all are there."""
-    paired = df.withColumn("y", F.lead(target).over(BY_SYMBOL)).withColumn("date", F.lead("date").over(BY_SYMBOL))
+    paired = df.withColumn("y", F.lead(target).over(by_symbol())).withColumn("date", F.lead("date").over(by_symbol()))
     return paired.select("date", "symbol", *features, "y").dropna()
 
 
@@ -47,7 +48,7 @@ def ridge_premium(sums: DataFrame, ridge: float, halflife: float) -> DataFrame:
             out.append((r.date, f.tolist(), np.asarray(mean).tolist()))
         return pd.DataFrame(out, columns=["date", "premium", "expected"])
 
-    return sums.groupBy(F.lit(1)).applyInPandas(solve, "date date, premium array<double>, expected array<double>")
+    return sums.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(solve, "date date, premium array<double>, expected array<double>")
 
 
 def factor_risk(pairs: DataFrame, features: list[str], cov_halflife: float, specific_halflife: float, rcond: float = 1e-6) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +70,6 @@ def factor_risk(pairs: DataFrame, features: list[str], cov_halflife: float, spec
     fitted = pairs.groupBy("date").applyInPandas(one, "date date, symbol long, f array<double>, e2 double")
     days = fitted.groupBy("date").agg(F.first("f").alias("f"))
     newest = days.agg(F.count(F.lit(1)).alias("days"))
-    from pyspark.sql.window import Window
-
     numbered = days.withColumn("k", F.row_number().over(Window.orderBy("date"))).crossJoin(F.broadcast(newest))
     w = F.pow(F.lit(2.0), -(F.col("days") - F.col("k")) / cov_halflife)
     covariance = numbered.groupBy().agg(F.array(*(F.array(*(F.sum(w * F.col("f")[i] * F.col("f")[j]) / F.sum(w) for j in range(k))) for i in range(k))).alias("covariance"))

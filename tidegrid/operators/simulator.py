@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..semantics import BUY_FEE, MIN_FEE, SELL_FEE, START_CASH
 
@@ -62,6 +63,6 @@ def backtest(quoted: DataFrame, books: DataFrame) -> DataFrame:
         nav, cash = simulate(grid("bid"), grid("ask"), grid("close"), grid("listed", bool), grid("share"), grid("cash"), targets)
         return pd.DataFrame({"label": key[0], "date": dates["date"].to_numpy(), "nav": nav, "cash": cash})
 
-    labels = books.select("label").distinct()
+    labels = books.select(F.concat("label", F.lit("")).alias("label")).distinct()
     market = quoted.select("symbol", "t", "date", "bid", "ask", "close", "listed", "share", "cash").crossJoin(labels)
     return market.groupBy("label").cogroup(books.groupBy("label")).applyInPandas(one, "label string, date date, nav double, cash double")

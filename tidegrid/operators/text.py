@@ -46,10 +46,9 @@ def text_of(html: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.pandas_udf("string")
-def html_to_text(html: pd.Series) -> pd.Series:
+def texts_of(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", html_to_text("html").alias("text"))
+    return pages.select("page_id", "url", F.pandas_udf(texts_of, "string")("html").alias("text"))

@@ -16,7 +16,7 @@ import ast
 import re
 from dataclasses import dataclass, field
 
-from ..semantics import CONSTANT, MIN_PAIRS, TIE_DECIMALS, YEAR_DAYS
+from ..semantics import CONSTANT, MIN_PAIRS, NOISE, TIE_SPLIT, YEAR_DAYS
 
 #: Functions over the last d ticks of one symbol, over one date, and of single values; with their numbers of arguments.
 TIME = {"delay": 2, "delta": 2, "ts_sum": 2, "ts_mean": 2, "ts_std": 2, "ts_var": 2, "ts_min": 2, "ts_max": 2, "ts_argmin": 2, "ts_argmax": 2, "ts_count": 2, "ts_rank": 2, "ts_quantile": 3, "ts_slope": 2, "ts_rsquare": 2, "ts_resi": 2, "decay": 2, "corr": 3, "cov": 3}
@@ -143,11 +143,11 @@ class Dialect:
         # the oldest of equal values: the smallest tick wins
         f = ("arg_max" if self.duck else "max_by") if largest else ("arg_min" if self.duck else "min_by")
         key = f"{'-' if largest else ''}t"
-        pair = f"{{'x': round({x}, {TIE_DECIMALS}), 'k': {key}}}" if self.duck else f"struct(round({x}, {TIE_DECIMALS}), {key})"
+        pair = f"{{'x': {tie(x)}, 'k': {key}}}" if self.duck else f"struct({tie(x)}, {key})"
         return f"{f}(t, CASE WHEN {x} IS NOT NULL THEN {pair} END) {over}"
 
     def window_rank(self, x: str, over: str) -> str:
-        r = f"round({x}, {TIE_DECIMALS})"
+        r = tie(x)
         if self.duck:
             held = f"list({r}) FILTER (WHERE {x} IS NOT NULL) {over}"
             less, equal = (f"len(list_filter({held}, lambda v: v {c} {r}))" for c in ("<", "="))
@@ -156,12 +156,17 @@ class Dialect:
             held = f"collect_list({r}) {over}"
             less, equal = (f"size(filter({held}, v -> v {c} {r}))" for c in ("<", "="))
             n = f"count({x}) {over}"
-        return f"CASE WHEN {x} IS NOT NULL THEN ({less} + ({equal} + 1) / 2.0) / {n} END"
+        return f"CASE WHEN {x} IS NOT NULL THEN ({less} + ({equal} + 1) / CAST(2 AS DOUBLE)) / {n} END"
 
     def quantile(self, x: str, q: float, over: str) -> str:
         return f"{'quantile_cont' if self.duck else 'percentile'}({x}, {q}) {over}"
 
 
+def tie(x: str) -> str:
+    """x to 23 binary digits, by a product and two differences that every engine computes alike; noise around zero is zero."""
+    return f"(CASE WHEN abs({x}) < {NOISE} THEN CAST(0 AS DOUBLE) ELSE {x} * {TIE_SPLIT} - ({x} * {TIE_SPLIT} - {x}) END)"
+
+
 SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
 BY_DATE = "OVER (PARTITION BY date)"
 
@@ -186,10 +191,10 @@ def correlation(a: str, b: str, over: str) -> str:
 
 def average_rank(x: str, part: str = "date") -> str:
     """Percentile in 0..1 by average rank among the values of a date; 0.5 for a lone value."""
-    r = f"round({x}, {TIE_DECIMALS})"
+    r = tie(x)
     up, down = (f"rank() OVER (PARTITION BY {part} ORDER BY {r} {way} NULLS LAST)" for way in ("ASC", "DESC"))
     n = f"count({x}) OVER (PARTITION BY {part})"
-    return f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN {n} > 1 THEN (({up} + {n} + 1 - {down}) / 2.0 - 1) / ({n} - 1) ELSE 0.5 END END"
+    return f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN {n} > 1 THEN (({up} + {n} + 1 - {down}) / CAST(2 AS DOUBLE) - 1) / ({n} - 1) ELSE CAST(0.5 AS DOUBLE) END END"
 
 
 def time_sql(n: Node, args: list[str], dialect: Dialect) -> str:
@@ -261,7 +266,7 @@ def cross_sql(n: Node, args: list[str]) -> str:
 
 
 def single_sql(n: Node, args: list[str]) -> str:
-    at = lambda x: f"round({x}, {TIE_DECIMALS})"
+    at = tie
     match n.op:
         case "+" | "-" | "*":
             return f"({args[0]} {n.op} {args[1]})"

@@ -19,9 +19,9 @@ from .streaming import bars
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Four digits of a value, so that sums taken in another order compare equal; in Spark and in DuckDB.
-SPARK_DIGITS = "CAST(format_string('%.4e', round({x}, 9) + 0.0D) AS DOUBLE)"
-DUCK_DIGITS = "CAST(format('{{:.4e}}', round(CAST({x} AS DOUBLE), 9) + 0.0) AS DOUBLE)"
+#: A value to 17 binary digits, so that sums taken in another order compare equal; the same in Spark and in DuckDB.
+SPLIT = "CAST(68719476737 AS DOUBLE)"
+DIGITS = f"CASE WHEN abs({{x}}) < CAST(0.000000001 AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE {{x}} * {SPLIT} - ({{x}} * {SPLIT} - {{x}}) END"
 
 
 def query(name: str, oracle: str | None = None):
@@ -35,11 +35,11 @@ def query(name: str, oracle: str | None = None):
 
 
 def digits(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.selectExpr(*(f"{SPARK_DIGITS.format(x=f'`{c}`')} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns))
+    return df.selectExpr(*(f"{DIGITS.format(x=f'CAST(`{c}` AS DOUBLE)')} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns))
 
 
 def duck_digits(sql: str, keys: list[str], columns: list[str]) -> str:
-    return f"SELECT {', '.join([*keys, *(DUCK_DIGITS.format(x=f'"{c}"') + f' AS "{c}"' for c in columns)])} FROM ({sql})"
+    return f"SELECT {', '.join([*keys, *(DIGITS.format(x=f'CAST("{c}" AS DOUBLE)') + f' AS "{c}"' for c in columns)])} FROM ({sql})"
 
 
 def expressions(name: str, own: dict[str, str], panel=market.factor_panel, sql: str = PANEL, cut_after: int | None = None) -> None:
@@ -248,7 +248,7 @@ def _range_sql(d: int) -> str:
 for _tag, _d in (("M", 21), ("A", 252)):
 
     def _run(spark, sf_dir, d=_d):
-        df = market.factor_panel(spark, sf_dir).select("date", "symbol", "t", (F.col("high") / F.nullif("low", F.lit(0.0))).alias("a"), (F.ln("close") - F.lag(F.ln("close")).over(market.BY_SYMBOL)).alias("r"))
+        df = market.factor_panel(spark, sf_dir).select("date", "symbol", "t", (F.col("high") / F.nullif("low", F.lit(0.0))).alias("a"), (F.ln("close") - F.lag(F.ln("close")).over(market.by_symbol())).alias("r"))
         return digits(df.select("date", "symbol", cross_section.range_momentum(df, "a", "r", d).alias("mmt_range")), ["mmt_range"])
 
     QUERIES[f"pv_range_mom_{_tag}"] = _run
@@ -407,7 +407,7 @@ FEATURES = ["COUNTRY", "reversal", "momentum", "calm"]
 
 def pairs(spark, sf_dir) -> DataFrame:
     df = evaluate(market.factor_panel(spark, sf_dir), _SIGNALS | {"ret": "returns - 0"})
-    df = cross_section.normalized(df, list(_SIGNALS)).withColumn("COUNTRY", F.lit(1.0)).withColumn("excess", F.col("ret") - F.avg("ret").over(cross_section.DAY))
+    df = cross_section.normalized(df, list(_SIGNALS)).withColumn("COUNTRY", F.lit(1.0)).withColumn("excess", F.col("ret") - F.avg("ret").over(cross_section.day()))
     return models.training_pairs(df, FEATURES, "excess")
 
 
@@ -437,10 +437,10 @@ def _of_window(solve, schema: str):
         def one(rows):
             import pandas as pd
 
-            grid = rows.pivot(index="t", columns="symbol", values="returns").sort_index()
+            grid = rows.drop(columns="all").pivot(index="t", columns="symbol", values="returns").sort_index()
             return pd.DataFrame(solve(grid.columns.to_numpy(), grid.to_numpy(float)))
 
-        return _windows(spark, sf_dir).groupBy(F.lit(1)).applyInPandas(one, schema)
+        return _windows(spark, sf_dir).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(one, schema)
 
     return run
 

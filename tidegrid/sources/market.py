@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..catalogs import ADV_WINDOWS
 from ..semantics import YEAR_DAYS
@@ -82,12 +82,14 @@ def dense(df: DataFrame, symbols: DataFrame) -> DataFrame:
     return grid.join(df, ["date", "symbol"], "left")
 
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("t")
+def by_symbol() -> WindowSpec:
+    """A symbol's ticks in order."""
+    return Window.partitionBy("symbol").orderBy("t")
 
 
 def carried(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each value stays until the next one."""
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)) for c in columns})
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) for c in columns})
 
 
 # -- the fixture market ------------------------------------------------------------------------------------------------
@@ -124,11 +126,11 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjusted(df: DataFrame) -> DataFrame:
     """mult: the product, over a symbol's dividend events so far, of P (1 + share) / (P - cash), with P the last close before."""
-    before = F.last("close", ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_p", before)
     factor = F.when(F.col("cash").isNotNull() & (F.col("_p") > F.col("cash")), F.col("_p") * (1 + F.col("share")) / (F.col("_p") - F.col("cash")))
     df = df.withColumn("_f", F.ln(factor))
-    mult = F.exp(F.coalesce(F.sum("_f").over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    mult = F.exp(F.coalesce(F.sum("_f").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     return df.withColumn("mult", mult).drop("_p", "_f")
 
 
@@ -140,9 +142,9 @@ def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", "symbol", "t", "industry", "amount", "cash", "share", "mult", "total", "circulating", F.col("close").alias("raw_close"), (F.col("close") * F.col("total")).alias("cap"), (F.col("volume") / F.col("circulating")).alias("turn"),
         (2 * (F.col("high") - F.col("low")) - F.abs(F.col("open") - F.col("close"))).alias("path"), *((F.col(c) * F.col("mult")).alias(c) for c in ("open", "high", "low", "close")), (F.col("volume") / F.col("mult")).alias("volume"), (raw * F.col("mult")).alias("vwap"),
     )
-    last = F.lag("close").over(BY_SYMBOL)
-    adv = {f"adv{d}": F.when(F.col("t") >= d, F.avg("amount").over(BY_SYMBOL.rowsBetween(1 - d, 0))) for d in ADV_WINDOWS}
-    df = df.withColumns({"returns": F.col("close") / F.nullif(last, F.lit(0.0)) - 1, "_r": F.ln("close") - F.lag(F.ln("close")).over(BY_SYMBOL), "_w": F.lag(F.col("raw_close") * F.col("circulating")).over(BY_SYMBOL)} | adv)
+    last = F.lag("close").over(by_symbol())
+    adv = {f"adv{d}": F.when(F.col("t") >= d, F.avg("amount").over(by_symbol().rowsBetween(1 - d, 0))) for d in ADV_WINDOWS}
+    df = df.withColumns({"returns": F.col("close") / F.nullif(last, F.lit(0.0)) - 1, "_r": F.ln("close") - F.lag(F.ln("close")).over(by_symbol()), "_w": F.lag(F.col("raw_close") * F.col("circulating")).over(by_symbol())} | adv)
     return df.withColumn("mkt", market_return(F.col("_r"), F.col("_w"))).drop("_r", "_w")
 
 

@@ -57,7 +57,7 @@ def rolling_means(stream: DataFrame, key: str = "event_type", n: int = 20) -> Da
         state.update((held,))
         yield pd.DataFrame({"key": group[0], "event_id": rows["event_id"].to_numpy(), "mean": means})
 
-    return stream.groupBy(F.col(key).alias("key")).applyInPandasWithState(step, "key string, event_id long, mean double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(step, "key string, event_id long, mean double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def carried_last(stream: DataFrame, key: str = "user_id") -> DataFrame:
