@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, SPACES, WORD, checkpointed
 
-#: Lines that are sent to all executors at most (about 24 bytes each); beyond it tables are joined by shuffle.
+#: Lines, or documents with some lines' places, that are sent to all executors at most (about 100 bytes each); beyond it
+#: tables are joined by shuffle.
 FEW_LINES = 500_000
 #: Tokens that are sent to all executors at most (about 32 bytes each).
 FEW_TOKENS = 2_000_000
@@ -86,13 +87,13 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     shared = entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("token")
     shared = checkpointed(shared)
     meets = entries.join(_sent(shared, FEW_TOKENS), "token", "left_semi").select("k1").distinct()
-    active = checkpointed(first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no")))
+    active = first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no"))
 
     # 2: the whole sets of those lines, in order of rarity
-    near_docs = docs.join(_sent(checkpointed(active.select("doc_id").distinct()), FEW_LINES), "doc_id", "left_semi")
-    near_lines = _lines(near_docs, "doc_id", "text").withColumn("id", _line_id("doc_id", "line_no"))
-    near_lines = near_lines.join(_sent(active.select("doc_id", "line_no", _line_id("doc_id", "line_no").alias("id")), FEW_LINES).toDF("a_doc", "a_line", "id"), "id").filter(_same("a"))
-    sets = checkpointed(near_lines.select("id", "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
+    by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line_no").alias("active")))
+    near = docs.join(_sent(by_doc, FEW_LINES), "doc_id").select("doc_id", "active", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    near = near.filter(F.array_contains("active", F.col("line_no")))
+    sets = checkpointed(near.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(line_words(F.col("line")), words).alias("t")))
     held = sets
     spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
     common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
