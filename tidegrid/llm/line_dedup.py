@@ -92,8 +92,8 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     # 2: the whole sets of those lines, in order of rarity
     by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line_no").alias("active")))
     near = docs.join(_sent(by_doc, FEW_LINES), "doc_id").select("doc_id", "active", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    near = near.filter(F.array_contains("active", F.col("line_no")))
-    sets = checkpointed(near.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(line_words(F.col("line")), words).alias("t")))
+    near = near.filter(F.array_contains("active", F.col("line_no"))).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
+    sets = checkpointed(near.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
     held = sets
     spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
     common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
