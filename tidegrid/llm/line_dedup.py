@@ -4,14 +4,14 @@ A line's tokens are its runs of `words` words (a shorter line is one token). Equ
 different lines are similar if the Jaccard similarity of their token sets is at least num / den. In any one order of
 all tokens, two similar sets of sizes x and y share a token among the first x - ceil(t x) + 1 and y - ceil(t y) + 1.
 
-1. With tokens in the order of their hashes, lines whose prefix holds no token of another line's prefix have no similar
-   line. They are nearly all lines, and only prefixes have moved so far.
-2. For the others, tokens are counted and put in order of rarity; lines meet at the rare tokens of their prefixes, by
-   the length filter (sizes within t) and the positional filter (what can still be shared behind the tokens met).
-3. Pairs are verified on the whole sets, and a line goes if an earlier one is similar or equal.
-
-Where many lines meet at one token, each is held against the earliest of them first; those that it accounts for are
-done, as one earlier line is enough, and only the rest meets every earlier line there.
+1. Prefixes in the order of hashes are all that moves. Tokens that only one line has there are dropped: nearly all are,
+   and lines without another token have no similar line. The others are counted: that is their rarity.
+2. At a rare token all its lines meet. At a common one each line meets the earliest, as one earlier line is enough for a
+   line to go; what is left meets all earlier lines in step 3. Pairs have to pass the length filter (sizes within t) and
+   the positional filter (what can be shared before and behind the token met), and are verified on the whole sets.
+
+To put all tokens in order of rarity, all of them would have to be counted and sent back to their lines; figures are in
+the README. Any order gives the same result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import SPACE_CLASS, SPACES, WORD, checkpointed
 #: Lines, or documents with some lines' places, that are sent to all executors at most (about 100 bytes each); beyond it
 #: tables are joined by shuffle.
 FEW_LINES = 500_000
+#: Lines at a rare token.
+RARE = 16
 #: Tokens that are sent to all executors at most (about 32 bytes each).
 FEW_TOKENS = 2_000_000
 
@@ -76,45 +78,32 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     lines = _lines(docs, "doc_id", "text").select("doc_id", "line_no", F.xxhash64("w").alias("k1"), line_tokens(F.col("w"), words).alias("t"))
     # two hashes, one of the words and one of the runs: lines with both equal are equal
     prefix = F.slice("t", F.lit(1), prefix_length(F.size("t"), num, den))
-    seen = checkpointed(lines.select("doc_id", "line_no", "k1", F.xxhash64("t").alias("k2"), prefix.alias("prefix")))
+    seen = checkpointed(lines.select("doc_id", "line_no", "k1", F.xxhash64("t").alias("k2"), F.size("t").alias("n"), prefix.alias("prefix")))
 
     first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("copies"))
     first = first.select("k1", "k2", F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"), "copies")
     gone_equal = seen.select("doc_id", "line_no", "k1", "k2").join(first.filter("copies > 1"), ["k1", "k2"]).filter("doc_id <> f_doc OR line_no <> f_line")
 
-    # 1: prefixes in the order of hashes. Equal lines have equal prefixes, so a token needs two different lines
-    entries = seen.select(F.explode("prefix").alias("token"), "k1")
-    shared = entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("token")
+    # 1: tokens of the prefixes that different lines share, with their numbers of lines. Equal lines have equal prefixes
+    entries = seen.select("k1", "k2", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count(F.lit(1)).alias("lines")).filter("lo <> hi").select("token", "lines")
     shared = checkpointed(shared)
-    meets = entries.join(_sent(shared, FEW_TOKENS), "token", "left_semi").select("k1").distinct()
-    active = first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no"))
-
-    # 2: the whole sets of those lines, in order of rarity
-    by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line_no").alias("active")))
-    near = docs.join(_sent(by_doc, FEW_LINES), "doc_id").select("doc_id", "active", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    near = near.filter(F.array_contains("active", F.col("line_no"))).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
-    sets = checkpointed(near.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
-    held = sets
-    spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
-    common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
-    met = spread.join(_sent(common, FEW_TOKENS), "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("met"))
-    # tokens of one line only come first in the order, and no line meets another there
-    ordered = sets.join(met, ["doc_id", "line_no"]).select("doc_id", "line_no", F.size("t").alias("n"), "met")
-    unique = F.col("n") - F.size("met")
-    place = F.posexplode(F.slice("met", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), num, den) - unique)))
-    postings = ordered.select("doc_id", "line_no", "n", unique.alias("skip"), place.alias("i", "m")).select("doc_id", "line_no", "n", (F.col("skip") + F.col("i")).alias("at"), F.col("m.token").alias("token"))
+    met = entries.join(_sent(shared, FEW_TOKENS), "token").distinct()
+    postings = met.join(first, ["k1", "k2"]).select("token", "lines", F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no"), "n", "at")
     postings = checkpointed(postings)
 
-    # 3: the earliest line of each token first, then every earlier line for those that are left
-    hub = postings.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("h"), F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    # 2: at rare tokens all lines meet; at common ones each line meets the earliest, and only lines that are left by then meet all
+    hub = postings.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("h"))
     hub = hub.select("token", F.col("h.doc_id").alias("a_doc"), F.col("h.line_no").alias("a_line"), F.col("h.n").alias("a_n"), F.col("h.at").alias("a_at"))
-    mine = postings.select("token", F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    near_hub = checkpointed(_verified(_filtered(mine.join(hub, "token"), num, den), held, num, den))
-    done = near_hub.select("b_doc", "b_line").distinct()
-    left = mine.join(done, ["b_doc", "b_line"], "left_anti")
+    mine = postings.select("token", "lines", F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     theirs = postings.select("token", F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    rare = F.col("lines") <= RARE
+    near_first = checkpointed(_verified(_filtered(mine.filter(rare).join(theirs, "token"), num, den).union(_filtered(mine.filter(~rare).join(hub, "token"), num, den)).distinct(), docs, words, num, den))
+
+    # 3: what is left at common tokens
+    left = mine.filter(~rare).join(near_first.select("b_doc", "b_line").distinct(), ["b_doc", "b_line"], "left_anti")
     rest = left.join(theirs, "token").join(hub.select("token", F.col("a_doc").alias("h_doc"), F.col("a_line").alias("h_line")), "token").filter("a_doc <> h_doc OR a_line <> h_line")
-    near = near_hub.union(_verified(_filtered(rest, num, den), held, num, den))
+    near = near_first.union(_verified(_filtered(rest, num, den), docs, words, num, den))
     best = near.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line", "shared", "either")).alias("s"))
     gone_near = best.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"), F.col("s.a_doc").alias("kept_doc"), F.col("s.a_line").alias("kept_line"), F.col("s.shared").alias("shared"), F.col("s.either").alias("either"))
     return gone_equal.select("doc_id", "line_no", F.col("f_doc").alias("kept_doc"), F.col("f_line").alias("kept_line"), F.lit(1).alias("shared"), F.lit(1).alias("either")).union(gone_near)
@@ -138,10 +127,16 @@ def _same(side: str) -> Column:
     return F.abs(F.col("doc_id") - F.col(f"{side}_doc")) + F.abs(F.col("line_no") - F.col(f"{side}_line")) < 1
 
 
-def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs of similar lines, by the whole token sets of the lines that are in a pair."""
     pairs = checkpointed(pairs.select("*", _line_id("a_doc", "a_line").alias("a_id"), _line_id("b_doc", "b_line").alias("b_id")))
+    of = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line"))
+    by_doc = checkpointed(of.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")))
+    cut = docs.join(_sent(by_doc, FEW_LINES), "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    held = cut.filter(F.array_contains("wanted", F.col("line_no")) & F.col("line").rlike(WORD)).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
+    held = checkpointed(held.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
     b = held.join(_sent(pairs.withColumn("id", F.col("b_id")), FEW_LINES), "id").filter(_same("b")).select("a_id", "a_doc", "a_line", "b_doc", "b_line", F.col("t").alias("b_t"))
-    a = held.join(_sent(pairs.select(F.col("a_id").alias("id")).distinct(), FEW_LINES), "id", "left_semi").select(F.col("id").alias("a_id"), "doc_id", "line_no", F.col("t").alias("a_t"))
+    a = held.select(F.col("id").alias("a_id"), "doc_id", "line_no", F.col("t").alias("a_t"))
     both = b.join(a, "a_id").filter(_same("a"))
     sized = both.select("a_doc", "a_line", "b_doc", "b_line", F.size(F.array_intersect("a_t", "b_t")).alias("shared"), (F.size("a_t") + F.size("b_t")).alias("sum"))
     return sized.filter(F.col("shared") * den >= (F.col("sum") - F.col("shared")) * num).select("a_doc", "a_line", "b_doc", "b_line", "shared", (F.col("sum") - F.col("shared")).alias("either"))
