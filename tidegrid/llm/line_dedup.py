@@ -82,10 +82,11 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     first = first.select("k1", "k2", F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"), "copies")
     gone_equal = seen.select("doc_id", "line_no", "k1", "k2").join(first.filter("copies > 1"), ["k1", "k2"]).filter("doc_id <> f_doc OR line_no <> f_line")
 
-    # 1: prefixes in the order of hashes. Equal lines have equal prefixes, so a token needs two different lines
-    entries = seen.select(F.explode("prefix").alias("token"), "k1")
-    shared = entries.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("token")
-    shared = checkpointed(shared)
+    # 1: prefixes in the order of hashes, of one line of each set of equal ones
+    repeated = checkpointed(first.filter("copies > 1").select("k1", F.col("k2").alias("r2"), "f_doc", "f_line"))
+    only = seen.join(_sent(repeated, FEW_LINES), "k1", "left").filter("f_doc IS NULL OR k2 <> r2 OR (doc_id = f_doc AND line_no = f_line)")
+    entries = only.select(F.explode("prefix").alias("token"), "k1")
+    shared = checkpointed(entries.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("token"))
     meets = entries.join(_sent(shared, FEW_TOKENS), "token", "left_semi").select("k1").distinct()
     active = first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no"))
 
@@ -154,8 +155,8 @@ def without_repeated_lines(df: DataFrame, *, words: int = 5, similarity: tuple[i
     texts among them, stay as they are.
     """
     gone = removed_lines(df, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = df.join(by_doc, F.col(id_col) == F.col("__doc"), "left")
+    by_doc = checkpointed(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone")))
+    joined = df.join(_sent(by_doc, FEW_LINES), F.col(id_col) == F.col("__doc"), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i))
     out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     out = out.filter(F.col("__gone").isNull() | F.col("__text").rlike(WORD))
