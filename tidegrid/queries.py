@@ -19,9 +19,10 @@ from .streaming import bars
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: A value to 17 binary digits, so that sums taken in another order compare equal; the same in Spark and in DuckDB.
-SPLIT = "CAST(68719476737 AS DOUBLE)"
-DIGITS = f"CASE WHEN abs({{x}}) < CAST(0.000000001 AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE {{x}} * {SPLIT} - ({{x}} * {SPLIT} - {{x}}) END"
+#: A value to 17 binary digits, so that sums taken in another order compare equal; the same in Spark and in DuckDB. It is
+#: moved by less than that first, as round numbers lie just between two such values.
+SPLIT, MOVED = "CAST(68719476737 AS DOUBLE)", "({x} * CAST(1.0000003 AS DOUBLE))"
+DIGITS = f"CASE WHEN abs({{x}}) < CAST(0.000000001 AS DOUBLE) THEN CAST(0 AS DOUBLE) ELSE {MOVED} * {SPLIT} - ({MOVED} * {SPLIT} - {MOVED}) END"
 
 
 def query(name: str, oracle: str | None = None):
