@@ -91,7 +91,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     A word is a run without ASCII white space; A-Z count as a-z. A null text has no words. About a MB of text is
     hashed at a time, as it takes some forty bytes of memory a byte.
     """
-    parts = [_word_hashes(texts[a:b]) for a, b in by_bytes(texts, 1 << 20)]
+    parts = [_word_hashes(texts[a:b]) for a, b in by_bytes(texts)]
     sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in parts)])
     return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.cumsum(sizes)
 
@@ -127,7 +127,7 @@ def slices(values: list, size: int):
         yield k, values[k : k + size]
 
 
-def by_bytes(texts: list[str | None], most: int = 4 << 20):
+def by_bytes(texts: list[str | None], most: int = 1 << 20):
     """Ranges of texts of about `most` characters; one text is never divided."""
     start, total = 0, 0
     for k, t in enumerate(texts):

@@ -183,12 +183,12 @@ def identify(df: DataFrame, languages: list[str], texts: list[str], *, id_col: s
         for batch in batches:
             all_texts = batch.column(1).to_pylist()
             langs, scores = [], []
-            for a, b in by_bytes(all_texts):
-                bits, has_letter = parser.bits_per_character(all_texts[a:b])
+            for a, b in by_bytes(all_texts, 4 << 20):
                 if not languages:
                     langs += ["und"] * (b - a)
                     scores += [0.0] * (b - a)
                     continue
+                bits, has_letter = parser.bits_per_character(all_texts[a:b])
                 best = bits.argmin(axis=1)
                 weight = np.exp2(-4 * (bits - bits.min(axis=1, keepdims=True)))
                 sure = 1 / weight.sum(axis=1)

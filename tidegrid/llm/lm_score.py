@@ -101,13 +101,13 @@ def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", tex
     Words are runs without ASCII white space, A-Z as a-z. Counts are over all rows; a row's own n-grams are left out for
     itself, while repeated rows count for each other. A place with fewer words before it has a shorter longest context,
     at no cost. Null, empty and blank texts: no words, 0, and a null mean. Null ids keep their rows. An empty table
-    gives an empty result. N-grams are told apart by hashes of twice the bits of the corpus size, plus two.
+    gives an empty result. N-grams are told apart by hashes of twice the bits of the corpus size, plus two (40 at least).
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = blocks_for(size, batch_bytes, least_batches)
     ranges = 1 << max(4, math.ceil(math.log2(2 * batches)))
-    bits = min(64, 2 * math.ceil(math.log2(size + 2) - 2) + 2)
+    bits = min(64, max(40, 2 * math.ceil(math.log2(size + 2) - 2) + 2))
     shift = np.uint64(bits - int(math.log2(ranges)))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(batches)).cast("int"))
 
