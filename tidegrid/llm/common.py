@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -30,9 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written to the shared folder.
+
+    Shuffle files behind it are of no more use, but Spark removes them only when the driver's garbage is collected, which
+    a driver with little to do puts off; so it is collected here.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
