@@ -251,6 +251,35 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_in_one_dense_cluster(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = rng.normal(size=64) + 0.05 * np.sqrt(64) * rng.normal(size=(2000, 64))
+    x[30:90:3] = x[30] + 1e-6 * rng.normal(size=(20, 64))  # near copies, for which a small radius is proven
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, F.col("vec_id") % 30 == 0, k=19, least_blocks=1).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    for i in range(0, 6000, 30):
+        s = (x * x[i]).sum(axis=1)
+        s[i] = -np.inf
+        assert [k for _, k in sorted(got[i])] == np.lexsort((np.arange(6000), -s))[:19].tolist()
+
+
+def test_radius_holds_all_that_is_as_near():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 20)) * rng.uniform(0.2, 1, (400, 1))
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 20))
+    coder = neighbours.learn(x, float(np.sqrt((x**2).sum(axis=1).max())), bits=96)
+    far = np.unpackbits(coder.query_codes(x)[:, None, :] ^ coder.codes(x)[None], axis=2).sum(axis=2)
+    score = x @ x.T
+    for k in (1, 20, 150):
+        worst = np.sort(score, axis=1)[:, -k]
+        radius = coder.radii(x, worst)
+        assert (far <= radius[:, None])[score >= worst[:, None]].all()
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------------
 
 

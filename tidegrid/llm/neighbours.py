@@ -1,12 +1,16 @@
-"""Approximate nearest neighbours by multi-index hashing.
+"""Nearest neighbours by multi-index hashing.
 
 Vectors get binary codes: signs after rotations that are learned (principal axes, then the rotation that brings the
 data nearest to the corners of a cube). A code is split into substrings of eight bits and each substring is indexed.
 Two codes at Hamming distance r or less are, by the pigeonhole principle, within r_j in some substring j when the
-r_j + 1 add up to r + 1; so looking up each substring's neighbourhood finds every code within r. The radius grows, query by
-query, until it holds enough codes; all codes within it are ranked by the exact inner product.
+r_j + 1 add up to r + 1; so looking up each substring's neighbourhood finds every code within r. All codes within a
+query's radius are ranked by the exact inner product.
 
-Inner products are turned into angles first: each vector gets one more coordinate that brings it to the largest norm.
+The radius is proven: where a bit differs, a vector is at least as far from the query along that axis as the query is
+from the plane that the bit is the side of. So the k-th best inner product so far says how many bits the code of a row
+that is as near can differ in. Where the tables can't exclude much within that radius, all rows of the block are ranked.
+
+Inner products are turned into distances first: each vector gets one more coordinate that brings it to the largest norm.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ class Coder:
     mean: np.ndarray
     axes: np.ndarray
     norm: float
+    rotations: int
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """[rows, bytes] codes of vectors in double precision."""
@@ -40,9 +45,24 @@ class Coder:
         return self._signs(np.column_stack((vectors, lift)))
 
     def query_codes(self, vectors: np.ndarray) -> np.ndarray:
+        return self._signs(self._lifted_queries(vectors))
+
+    def _lifted_queries(self, vectors: np.ndarray) -> np.ndarray:
         """A query's length doesn't change its order of answers, so it is brought to the largest norm too."""
         own = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-        return self._signs(np.column_stack((vectors * (self.norm / np.maximum(own, 1e-300)), np.zeros(len(vectors)))))
+        return np.column_stack((vectors * (self.norm / np.maximum(own, 1e-300)), np.zeros(len(vectors))))
+
+    def radii(self, vectors: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """For each query a radius: the code of every row whose inner product is `worst` or more is within it.
+
+        Axes of one rotation are orthonormal, so the squared margins of the bits in which codes differ add up to at
+        most the squared distance, times the number of rotations.
+        """
+        margins = np.cumsum(np.sort(((self._lifted_queries(vectors) - self.mean) @ self.axes) ** 2, axis=1), axis=1)
+        own = np.sqrt((vectors**2).sum(axis=1))
+        square = 2 * self.norm**2 - 2 * worst * (self.norm / np.maximum(own, 1e-300))
+        room = 1e-9 * self.norm**2  # for rounding
+        return (~(margins > (self.rotations * (square + room))[:, None])).sum(axis=1)
 
     def _signs(self, lifted: np.ndarray) -> np.ndarray:
         return np.packbits((lifted - self.mean) @ self.axes > 0, axis=1)
@@ -66,7 +86,7 @@ def learn(sample: np.ndarray, norm: float, *, bits: int = 256, rounds: int = 25,
             rotation = (left @ right).T
         axes.append(own @ rotation)
         have += own.shape[1]
-    return Coder(mean, np.concatenate(axes, axis=1), norm)
+    return Coder(mean, np.concatenate(axes, axis=1), norm, len(axes))
 
 
 class MultiIndex:
@@ -102,27 +122,52 @@ class MultiIndex:
         near = far <= radius
         return q[near], row[near], far[near]
 
-    def at_least(self, queries: np.ndarray, enough: int, start: int):
-        """For each query every code within the smallest radius that holds `enough` codes (all codes, if there are fewer)."""
-        words = np.ascontiguousarray(np.pad(queries, ((0, 0), (0, -queries.shape[1] % 8)))).view(np.uint64)
-        open_, radius, bits = np.arange(len(queries)), start, 8 * self.parts
-        enough = min(enough, len(self.codes))
-        while len(open_):
-            q, row, far = self.within(queries[open_], words[open_], radius)
-            n = np.bincount(q, minlength=len(open_))
-            done = (n >= enough) | (radius >= bits)
-            mine = done[q]
-            q, row, far = q[mine], row[mine], far[mine]
-            order = np.lexsort((far, q))
-            q, row, far = q[order], row[order], far[order]
-            first = np.searchsorted(q, np.flatnonzero(done))
-            limit = np.zeros(len(open_), np.int64)
-            if len(q):
-                limit[done] = far[np.minimum(first + enough, len(far)) - 1]
-            keep = far <= limit[q]
-            yield open_[q[keep]], row[keep]
-            open_ = open_[~done]
-            radius = min(bits, radius + max(1, self.parts // 4))
+
+def _ranked(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, q: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of query and row numbers the k best of each query, best first, and their scores; ties go to the smaller id."""
+    other = ids[row] != q_ids[q]
+    q, row = q[other], row[other]
+    parts = [(vectors[row[a : a + (1 << 16)]] * q_vectors[q[a : a + (1 << 16)]]).sum(axis=1) for a in range(0, len(q), 1 << 16)]
+    score = np.concatenate(parts) if parts else np.zeros(0)  # one order of summing for every pair
+    order = np.lexsort((ids[row], -score, q))
+    q, row, score = q[order], row[order], score[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], row[best], score[best]
+
+
+def _scanned(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row numbers of all pairs that can be among a query's k best: fast products, with room for their rounding."""
+    fast = q_vectors @ vectors.T
+    room = 1e-15 * vectors.shape[1] * np.sqrt((q_vectors**2).sum(axis=1) * (vectors**2).sum(axis=1).max())
+    fast[ids[None, :] == q_ids[:, None]] = -np.inf
+    at = max(0, len(ids) - k)
+    return np.nonzero(fast >= (np.partition(fast, at, axis=1)[:, at] - room)[:, None])
+
+
+def nearest(index: MultiIndex, coder: Coder, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int):
+    """Query numbers, row numbers and scores of each query's k best rows of a block, a part of the queries at a time."""
+    codes = coder.query_codes(q_vectors)
+    words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+    radius = index.parts - 1  # as far as equal substrings reach
+    q, row, _ = index.within(codes, words, radius)
+    q, row, score = _ranked(ids, vectors, q_ids, q_vectors, q, row, k)
+    worst = np.full(len(q_ids), -np.inf)
+    full = np.bincount(q, minlength=len(q_ids)) == k
+    worst[full] = score[np.searchsorted(q, np.flatnonzero(full)) + k - 1]
+    need = coder.radii(q_vectors, worst)
+    proven = need[q] <= radius
+    yield q[proven], row[proven], score[proven]
+    # one bit off in a substring brings two thirds of random codes, two bits nearly all
+    farther = (need > radius) & (need < 2 * index.parts)
+    for r in np.unique(need[farther]):
+        mine = np.flatnonzero(need == r)
+        q, row, _ = index.within(codes[mine], words[mine], int(r))
+        q, row, score = _ranked(ids, vectors, q_ids[mine], q_vectors[mine], q, row, k)
+        yield mine[q], row, score
+    mine = np.flatnonzero(need >= 2 * index.parts)
+    if len(mine):
+        q, row, score = _ranked(ids, vectors, q_ids[mine], q_vectors[mine], *_scanned(ids, vectors, q_ids[mine], q_vectors[mine], k), k)
+        yield mine[q], row, score
 
 
 def usable(vector: Column) -> Column:
@@ -137,12 +182,12 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, bits: int = 256, enough: int = 64, sample: int = 10_000, rows_per_block: int = 8192, least_blocks: int = 24, queries_per_block: int = 16_384, seed: int = 5) -> DataFrame:
+def search(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, bits: int = 256, sample: int = 10_000, rows_per_block: int = 8192, least_blocks: int = 24, queries_per_block: int = 16_384, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of df that is_query holds for, its k nearest other rows.
 
     Nearness is the inner product in double precision; ties go to the smaller id. Rows lie in blocks by their ids'
-    hashes, and each block of queries meets each block of rows. A block answers with every code within the smallest
-    radius that holds `enough` of its codes. Rotations are fitted on at most `sample` rows.
+    hashes, and each block of queries meets each block of rows. A block answers with the k nearest of all its rows, so
+    the result is exact. Rotations are fitted on at most `sample` rows.
 
     Rows with unusable() vectors, null ids, or another dimension than the most frequent one take no part. A query's
     own id is not among its answers. Repeated rows are ranked each. No rows: an empty result.
@@ -171,14 +216,8 @@ def search(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_co
             index = MultiIndex(coder.codes(vectors))
             for a in range(0, len(qids), 128):
                 q_ids, q_vectors = qids[a : a + 128], qvectors[a : a + 128]
-                for q, row in index.at_least(coder.query_codes(q_vectors), enough + 1, bits * 3 // 8 - 1):
-                    other = ids[row] != q_ids[q]
-                    q, row = q[other], row[other]
-                    score = (vectors[row] * q_vectors[q]).sum(axis=1)  # one order of summing for every pair
-                    order = np.lexsort((ids[row], -score, q))
-                    q, row, score = q[order], row[order], score[order]
-                    nth = np.arange(len(q)) - np.searchsorted(q, q)
-                    out.append((q_ids[q[nth < k]], ids[row[nth < k]], score[nth < k]))
+                for q, row, score in nearest(index, coder, ids, vectors, q_ids, q_vectors, k):
+                    out.append((q_ids[q], ids[row], score))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
