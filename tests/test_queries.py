@@ -45,6 +45,29 @@ def test_models_run(spark, sf):
     assert queries.QUERIES["ridge_premium"](spark, sf).count() > 100
 
 
+def test_risk_models_run_at_every_rebalance(spark, sf):
+    import numpy as np
+
+    from tidegrid.operators import models
+
+    panel = market.factor_panel(spark, sf).select("t", "date", "symbol", "returns").toPandas()
+    grid = panel.pivot(index="t", columns="symbol", values="returns").sort_index()
+    days = panel[["t", "date"]].drop_duplicates().set_index("t")["date"]
+    every = [t for t in grid.index if t % 4 == 0]
+    got = queries.QUERIES["shrinkage_diagonal"](spark, sf).toPandas()
+    assert sorted(got["date"].unique()) == [days[t] for t in every] and len(got) == len(every) * len(grid.columns)
+    books = queries.QUERIES["gmv_books"](spark, sf).toPandas()
+    assert books.groupby("date")["weight"].sum().to_numpy() == pytest.approx(np.ones(len(every)))
+    scores = queries.QUERIES["risk_readouts"](spark, sf).toPandas().pivot(index="date", columns="metric", values="value")
+    assert sorted(scores.index) == [days[t] for t in grid.index if t > every[0]]
+    for r in (every[10], every[-2]):  # a window that is not full yet, and one that is
+        x, f, d, _ = models.shrunk_covariance(grid.loc[max(1, r - 119) : r].to_numpy(float), "diagonal", 5)
+        assert got[got["date"] == days[r]].sort_values("symbol")["variance"].to_numpy(float) == pytest.approx(x**2 @ f + d, nan_ok=True)
+        x, f, d, _ = models.shrunk_covariance(grid.loc[max(1, r - 119) : r].to_numpy(float), "constant-correlation", 5)
+        for t in range(r + 1, r + 5):
+            assert scores.loc[days[t], "log_likelihood"] == pytest.approx(models.log_likelihood(grid.loc[t].to_numpy(float), x, np.diag(f), np.nan_to_num(d, nan=1.0)))
+
+
 def test_prefill_and_names(spark):
     df = spark.createDataFrame([("2024-01-01", 1, 5.0), ("2024-01-03", 1, 6.0), ("2024-01-02", 2, 7.0)], "date string, symbol long, x double")
     df = df.withColumn("date", df.date.cast("date"))

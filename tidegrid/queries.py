@@ -423,35 +423,46 @@ def factor_risk(spark, sf_dir):
     return specific.crossJoin(F.broadcast(covariance))
 
 
-WINDOW_OF_MODEL, RANK_OF_MODEL = 120, 5
+WINDOW_OF_MODEL, RANK_OF_MODEL, TICKS_HELD = 120, 5, 4
 
 
 def _windows(spark, sf_dir) -> DataFrame:
-    """The last returns of the market, for one task: a window of dates by symbols is what the model takes."""
-    df = market.factor_panel(spark, sf_dir).select("t", "symbol", "returns")
-    last = df.agg(F.max("t").alias("last"))
-    return df.crossJoin(F.broadcast(last)).filter(F.col("t") > F.col("last") - WINDOW_OF_MODEL).select("t", "symbol", "returns")
+    """(rebalance, date, t, symbol, returns): for each rebalance the returns up to it that its model learns from, fewer
+    at the start of the market, and those after it up to the next rebalance, which score it."""
+    df = market.factor_panel(spark, sf_dir).select("date", "t", "symbol", "returns")
+    rebalances = market.calendar(market.prices(spark, sf_dir)).filter(F.col("t") % TICKS_HELD == 0).select(F.col("t").alias("rebalance"))
+    near = (F.col("t") > F.col("rebalance") - WINDOW_OF_MODEL) & (F.col("t") <= F.col("rebalance") + TICKS_HELD)
+    return df.join(F.broadcast(rebalances), near).select("rebalance", "date", "t", "symbol", "returns")
 
 
-def _of_window(solve, schema: str):
+def _of_windows(solve, schema: str, newest: bool = False):
+    """One task a rebalance: a window of ticks by symbols is what the model takes. solve: symbols, dates, returns, and
+    how many of the ticks are up to the rebalance."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         def one(rows):
             import pandas as pd
 
-            grid = rows.drop(columns="all").pivot(index="t", columns="symbol", values="returns").sort_index()
-            return pd.DataFrame(solve(grid.columns.to_numpy(), grid.to_numpy(float)))
+            grid = rows.pivot(index="t", columns="symbol", values="returns").sort_index()
+            dates = rows[["t", "date"]].drop_duplicates().sort_values("t")["date"].to_numpy()
+            return pd.DataFrame(solve(grid.columns.to_numpy(), dates, grid.to_numpy(float), int((grid.index <= rows["rebalance"].iloc[0]).sum())))
 
-        return _windows(spark, sf_dir).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(one, schema)
+        windows = _windows(spark, sf_dir)
+        if newest:  # the last ticks, all but the last one learned from
+            df = market.factor_panel(spark, sf_dir).select("date", "t", "symbol", "returns")
+            last = df.agg(F.max("t").alias("last"))
+            windows = df.crossJoin(F.broadcast(last)).filter(F.col("t") > F.col("last") - WINDOW_OF_MODEL).select((F.col("last") - 1).alias("rebalance"), "date", "t", "symbol", "returns")
+        return windows.groupBy("rebalance").applyInPandas(one, schema)
 
     return run
 
 
 def _shrinkage(name: str):
-    def solve(symbols, returns):
-        x, f, d, intensity = models.shrunk_covariance(returns, name, RANK_OF_MODEL)
-        return {"symbol": symbols, "variance": (x**2 @ f) + d, "specific": d, "intensity": [intensity] * len(symbols)}
+    def solve(symbols, dates, returns, n):
+        x, f, d, intensity = models.shrunk_covariance(returns[:n], name, RANK_OF_MODEL)
+        return {"date": dates[n - 1], "symbol": symbols, "variance": (x**2 @ f) + d, "specific": d, "intensity": [intensity] * len(symbols)}
 
-    return _of_window(solve, "symbol long, variance double, specific double, intensity double")
+    return _of_windows(solve, "date date, symbol long, variance double, specific double, intensity double")
 
 
 for _t in models.TARGETS:
@@ -461,33 +472,36 @@ for _t in models.TARGETS:
 def _model(returns):
     import numpy as np
 
-    x, f, d, _ = models.shrunk_covariance(returns[:-1], "constant-correlation", RANK_OF_MODEL)
+    x, f, d, _ = models.shrunk_covariance(returns, "constant-correlation", RANK_OF_MODEL)
     return x, np.diag(f), np.nan_to_num(d, nan=1.0)
 
 
-def _gmv(symbols, returns):
-    return {"symbol": symbols, "weight": models.minimum_variance(*_model(returns))}
+def _gmv(symbols, dates, returns, n):
+    return {"date": dates[n - 1], "symbol": symbols, "weight": models.minimum_variance(*_model(returns[:n]))}
 
 
-def _mv(symbols, returns):
+def _mv(symbols, dates, returns, n):
     import numpy as np
 
-    mu = np.nan_to_num(np.nanmean(returns[:-1], axis=0))
-    return {"symbol": symbols, "weight": models.mean_variance(mu, *_model(returns), 5.0)}
-
+    have = np.isfinite(returns[:n])
+    mu = np.where(have, returns[:n], 0).sum(axis=0) / np.maximum(have.sum(axis=0), 1)
+    return {"date": dates[n - 1], "symbol": symbols, "weight": models.mean_variance(mu, *_model(returns[:n]), 5.0)}
 
-def _readouts(symbols, returns):
-    import numpy as np
 
-    x, f, d = _model(returns)
+def _readouts(symbols, dates, returns, n):
+    """The model and its minimum-variance book, held until the next rebalance, at each tick after it."""
+    x, f, d = _model(returns[:n])
     w = models.minimum_variance(x, f, d)
-    rows = {"log_likelihood": models.log_likelihood(returns[-1], x, f, d), "portfolio_variance": models.portfolio_variance(w, x, f, d), "mean_correlation": models.mean_correlation(x, f, d), "factor_share": models.factor_share(x, f, d)}
-    return {"metric": list(rows), "value": np.array(list(rows.values()))}
+    fixed = {"portfolio_variance": models.portfolio_variance(w, x, f, d), "mean_correlation": models.mean_correlation(x, f, d), "factor_share": models.factor_share(x, f, d)}
+    rows = [(date, m, v) for date, r in zip(dates[n:], returns[n:], strict=True) for m, v in ({"log_likelihood": models.log_likelihood(r, x, f, d)} | fixed).items()]
+    return {c: [r[i] for r in rows] for i, c in enumerate(("date", "metric", "value"))}
 
 
-QUERIES["gmv_weights"] = _of_window(_gmv, "symbol long, weight double")
-QUERIES["mv_weights"] = _of_window(_mv, "symbol long, weight double")
-QUERIES["risk_readouts"] = _of_window(_readouts, "metric string, value double")
+QUERIES["gmv_books"] = _of_windows(_gmv, "date date, symbol long, weight double")
+#: The newest of the books only: a test holds the sum of all its weights at one.
+QUERIES["gmv_weights"] = _of_windows(lambda *window: {k: v for k, v in _gmv(*window).items() if k != "date"}, "symbol long, weight double", newest=True)
+QUERIES["mv_weights"] = _of_windows(_mv, "date date, symbol long, weight double")
+QUERIES["risk_readouts"] = _of_windows(_readouts, "date date, metric string, value double")
 
 
 @query("backtest_nav")
