@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -150,6 +151,25 @@ def test_languages_are_found(spark):
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.98
 
 
+def test_languages_of_many_letters_are_told_apart():
+    rng = random.Random(9)
+    words = {lang: ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 2500)) for _ in range(2)) for _ in range(300)] for lang in ("x", "y")}
+    words["z"] = [chr(0x30000 + k) for k in range(300)]
+    make = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(2000))
+    parser = langid.CrossParser(list(words), [make(lang) for lang in words])
+    bits, _ = parser.bits_per_character([make(lang) for lang in ("x", "y", "z") for _ in range(5)])
+    assert bits.argmin(axis=1).tolist() == [0] * 5 + [1] * 5 + [2] * 5 and len(parser.letters) > 800
+
+
+def test_every_label_is_learned_from_all_of_its_texts(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:210]
+    rows = [(i, "a" * 3000 + "b" * 3000, f"l{k % 70:02}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, texts = langid.labelled_texts(df, id_col="doc_id", text_col="text", lang_col="lang", chars_per_language=1200, texts_per_language=60)
+    assert languages == [f"l{k:02}" for k in range(70)]
+    assert all(min(t.count("a"), t.count("b")) > 580 and len(t) <= 1200 for t in texts)
+
+
 def test_language_of_odd_texts(spark, corpus, odd_rows):
     df = corpus(odd_rows)
     rows = langid.identify(df, ["de", "en"], ["der die das und ist ä ö ü ß", "the and of that with one two three"]).collect()

@@ -5,8 +5,9 @@ into the longest pieces that the automaton knows; the language whose text needs
 log2(length of the labelled text) bits, describes the document in the fewest bits a character and wins.
 
 Only transitions from the start state are followed, so a missing transition ends a phrase and starts the next one at
-the same character. With 'missing' folded into the table, parsing is one lookup a character, done for thousands of
-texts and all languages in step.
+the same character. Transitions are kept sparse, so scripts of thousands of letters and any number of languages fit: a
+state is a number, and its transition by a symbol lies at the sum of both, marked with its owner. Parsing is a lookup a
+character (two where a phrase ends), done for thousands of texts and all languages in step.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_bytes, learnable, sql_type
 
 SPACE, OTHER, FIRST = 0, 1, 2
 #: Texts are parsed in pieces of so many characters; a phrase ends with its piece.
 PIECE = 1024
-ENDS = 1 << 30
+#: Labelled texts that are longer than their share are learned from in passages of so many characters, spread evenly.
+PASSAGE = 100
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transition table [states, alphabet] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """For each state of the automaton of all substrings its transitions: symbol -> state. The first state is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -52,45 +55,65 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(moves), alphabet), -1, np.int64)
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            table[s, c] = t
-    return table
+    return moves
 
 
 def parse_table(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """The automaton as a flat table of row offsets; ENDS is set where a phrase ends. The last symbol only pads."""
-    moves = suffix_automaton(symbols, alphabet)
-    restart = np.maximum(moves[0], 0)  # an unknown character is a phrase by itself
-    table = np.where(moves >= 0, moves, restart[None, :]) * (alphabet + 1)
-    table |= np.where(moves >= 0, 0, ENDS)
-    return np.column_stack((table, np.arange(len(moves)) * (alphabet + 1))).astype(np.int32).ravel()
+    """The automaton as a table of owner << 32 | next; states are numbers, 0 the start, whose row has every symbol.
+
+    The entry at state + symbol is the state's transition if the state is its owner. At the start, a symbol that the
+    text has not is owned by none and leads back. States get their numbers by chance, those of most transitions first,
+    and try again where entries are taken.
+    """
+    moves = suffix_automaton(symbols)
+    degree = np.array([len(m) for m in moves])
+    size = alphabet + 3 * int(degree.sum()) + len(moves)
+    rng = np.random.default_rng(11)
+    number, used, taken = np.zeros(len(moves), np.int64), np.zeros(size, bool), np.zeros(size + alphabet, bool)
+    used[0], taken[:alphabet] = True, True
+    claims, numbers = np.zeros(size + alphabet, np.int64), np.zeros(size, np.int64)
+    for d in np.unique(degree)[::-1]:
+        left = np.flatnonzero(degree == d)
+        left = left[left > 0]
+        own = np.array([list(moves[s]) for s in left], np.int64).reshape(len(left), d)
+        while len(left):
+            n = rng.integers(1, size, len(left))
+            at = n[:, None] + own
+            claims[at], numbers[n] = np.arange(len(left))[:, None], np.arange(len(left))
+            fits = ~used[n] & ~taken[at].any(axis=1) & (claims[at] == np.arange(len(left))[:, None]).all(axis=1) & (numbers[n] == np.arange(len(left)))
+            number[left[fits]] = n[fits]
+            used[n[fits]], taken[at[fits]] = True, True
+            left, own = left[~fits], own[~fits]
+    table = np.full(size + alphabet, -1 << 32, np.int64)
+    for s, m in enumerate(moves):
+        for c, t in m.items():
+            table[number[s] + c] = number[s] << 32 | number[t]
+    return table
 
 
 def letters_of(texts: list[str]) -> list[str]:
-    """The letters of the texts, commonest first, at most 90 of them."""
+    """The letters of the texts, commonest first."""
     n: dict[str, int] = {}
     for t in texts:
         for ch in t.lower():
             if ch.isalpha():
                 n[ch] = n.get(ch, 0) + 1
-    return sorted(n, key=lambda c: (-n[c], c))[:90]
+    return sorted(n, key=lambda c: (-n[c], c))
 
 
 _letter: list[np.ndarray] = []
 
 
 def symbols_of(texts: list[str | None], letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, and their bounds: lower-case letters, any other letter as one symbol, and one space for each run of anything else."""
+    """Symbols of all texts, and their bounds: lower-case letters, any letter that is not known as one symbol, and one space for each run of anything else."""
     if not _letter:
-        _letter.append(np.array([chr(c).isalpha() for c in range(0x30000)], np.uint8))
+        _letter.append(np.array([chr(c).isalpha() for c in range(0x110000)], np.int32))
     low = [(t or "").lower() for t in texts]
     points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letter[0].copy()  # OTHER where a letter
     for i, ch in enumerate(letters):
         table[ord(ch)] = FIRST + i
-    sym = table[np.minimum(points, 0x2FFFF)]
+    sym = table[points]
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != SPACE) | (sym[:-1] != SPACE)
     after = np.cumsum([len(t) + 1 for t in low])
@@ -109,8 +132,8 @@ class CrossParser:
         self.bits = np.array([np.log2(max(2, len(s))) for s in own])
         tables = [parse_table(s, self.alphabet) for s in own]
         self.roots = np.concatenate(([0], np.cumsum([len(t) for t in tables])[:-1])).astype(np.int64)
-        # one table for all languages: offsets move by the language's root
-        self.table = np.concatenate([np.where(t & ENDS, ENDS | ((t & (ENDS - 1)) + r), t + r) for t, r in zip(tables, self.roots, strict=True)]).astype(np.int32) if tables else np.zeros(0, np.int32)
+        # one table for all languages: states move by the language's root; no owner stays none
+        self.table = np.concatenate([np.where(t < 0, t + r, t + (int(r) << 32 | int(r))) for t, r in zip(tables, self.roots, strict=True)]) if tables else np.zeros(0, np.int64)
 
     def bits_per_character(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """[text, language] bits, and whether a text has a letter."""
@@ -130,38 +153,41 @@ class CrossParser:
         live = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")  # pieces of at least so many characters
         for t in range(int(size[0]) if len(size) else 0):
             m = live[t]
-            move = self.table[state[:, :m] + padded[start[:m] + t]]
-            phrases[:, :m] += move >> 30
-            state[:, :m] = move & (ENDS - 1)
+            symbol, now = padded[start[:m] + t], state[:, :m]
+            move = self.table[now + symbol]
+            lang, k = np.nonzero(move >> 32 != now)
+            phrases[lang, k] += 1
+            move[lang, k] = self.table[self.roots[lang] + symbol[k]]
+            state[:, :m] = move & 0xFFFFFFFF
         total = np.zeros((n, langs))
         for j in range(langs):
             total[:, j] = np.bincount(of, phrases[j], n)[:n] * self.bits[j]
         return total / np.maximum(sizes, 1)[:, None], has_letter
 
 
-def labelled_texts(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, chars_per_language: int, texts_per_language: int, max_languages: int) -> tuple[list[str], list[str]]:
+def labelled_texts(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, chars_per_language: int, texts_per_language: int, max_languages: int | None = None) -> tuple[list[str], list[str]]:
     """Languages and one labelled text for each, from the texts whose ids have the smallest hashes.
 
-    Bounds of the sample: max_languages (the most frequent), texts_per_language and chars_per_language.
+    Bounds of the sample: texts_per_language and chars_per_language; a text longer than its share of the latter (200 at
+    least) gives passages from its beginning to its end. Every label is learned, unless max_languages (the most frequent)
+    is given.
     """
     known = df.filter(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    languages = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    if max_languages is not None:
+        frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+        known = known.join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
     keyed = known.withColumn("h", F.xxhash64("doc_id"))
-    taken = [keyed.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(texts_per_language).select("lang", "h", F.substring("text", 1, chars_per_language).alias("text")) for lang in languages]
-    out: dict[str, str] = {}
-    if taken:
-        union = taken[0]
-        for t in taken[1:]:
-            union = union.union(t)
-        # turn by turn from each text, so that one long text is not the whole sample
-        for lang in sorted(languages):
-            out[lang] = ""
-        rows = sorted(map(tuple, union.collect()))
-        for lang in out:
-            own = [t for of, _, t in rows if of == lang]
-            share = max(200, chars_per_language // max(1, len(own)))
-            out[lang] = "\n".join(t[:share] for t in own)[:chars_per_language]
-    return list(out), list(out.values())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    taken = keyed.withColumn("nth", nth).filter(F.col("nth") <= texts_per_language).withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    share = F.greatest(F.lit(200), F.floor(F.lit(chars_per_language) / F.col("own"))).cast("int")
+    passages = F.greatest(F.lit(2), F.floor(share / PASSAGE)).cast("int")
+    at = lambda i: (F.lit(1) + F.floor(i * (F.length("text") - PASSAGE) / (passages - 1))).cast("int")
+    spread = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), passages - 1), lambda i: F.substring(F.col("text"), at(i), F.lit(PASSAGE))))
+    rows = taken.select("lang", "h", F.when(F.length("text") <= share, F.col("text")).otherwise(spread).alias("text")).collect()
+    out: dict[str, list[str]] = {}
+    for lang, _, text in sorted(map(tuple, rows)):
+        out.setdefault(lang, []).append(text)
+    return list(out), ["\n".join(own)[: max(chars_per_language, 0)] for own in out.values()]
 
 
 _parsers: dict[int, CrossParser] = {}

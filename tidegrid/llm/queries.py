@@ -36,7 +36,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    languages, texts = langid.labelled_texts(docs, id_col="doc_id", text_col="text", lang_col="lang", chars_per_language=24_000, texts_per_language=60, max_languages=64)
+    languages, texts = langid.labelled_texts(docs, id_col="doc_id", text_col="text", lang_col="lang", chars_per_language=24_000, texts_per_language=60)
     found = langid.identify(docs, languages, texts)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
