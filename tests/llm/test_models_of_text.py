@@ -70,6 +70,16 @@ def test_dense_strings_are_found_and_names_are_not(spark, corpus):
     assert [r.n_dense for r in rows] == [1, 0, 0, 0, 0, 0, 0]
 
 
+def test_keys_of_letters_in_urls_and_short_ones_are_found(spark, corpus):
+    lower, mixed, key, short = "qzxvkwjhpfgtbydmrnclqsxzvwkjgphb", "qZxVkWjHpFgTbYdMrNcLqSxZvWkJgPhB", "x9Qz7Lk2Vp4Tr8Wm3Nc6Yb1", "x9Qz7Lk2Vp4Tr8Wm"
+    found = [f"use {lower} now", f"use {lower.upper()} now", f"use {mixed} now", f"redis://user:{key}@host.example/0", f"https://{'h' * 3}.example/a?user=me&key={key}&z=1", f"see {short} here"]
+    secret = [lower, lower.upper(), mixed, key, key, short]
+    names = ["Donaudampfschifffahrtsgesellschaft", "understandability", "internationalization", "https://www.example.com:8080/" + key, "https://e.example/" + key + "?page=2", "https://e.example/?id=123e4567-e89b-12d3-a456-426614174000", "https://e.example/a@b/" + key, "1234567890123456"]
+    rows = secrets.scan_secrets(corpus(list(enumerate(found + names))), vocabulary("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()
+    assert [r.spans for r in rows[: len(found)]] == [f"dense:{t.index(k)}:{t.index(k) + len(k)}" for t, k in zip(found, secret, strict=True)]
+    assert [r.n_dense for r in rows[len(found) :]] == [0] * len(names)
+
+
 def test_secrets_of_odd_texts(spark, corpus, odd_rows):
     found = secrets.scan_secrets(corpus(odd_rows), vocabulary("byte_bpe_50k.tiktoken"))
     rows = secrets.with_digest(found).collect()

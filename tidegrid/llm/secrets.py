@@ -2,7 +2,8 @@
 
 A vocabulary holds what people write often. Random strings are not in it: they come apart into tokens of one or two
 characters. A run of credential characters with few characters per token is reported, unless it is a digest that is
-labelled as one, or an identifier (words joined by case, hyphen, slash or underscore; a UUID; a number; part of a URL).
+labelled as one, or an identifier (words joined by case, hyphen, slash or underscore; a UUID; a number; the host or path
+of a URL). Letters alone are judged by their tokens: those of a word are long. User-info and query of a URL are judged too.
 """
 
 from __future__ import annotations
@@ -27,13 +28,17 @@ KINDS = ("assign", "access", "hex", "dense")
 #: How the vocabulary's text is cut before merges; the file of the vocabulary does not hold it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Runs of LEAST characters are judged; those of fewer than SHORT vary more in characters per token, and meet a stricter limit.
+LEAST, SHORT = 16, 20
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 DIGEST = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}")
 DIGEST_LABEL = re.compile(r"(?i)(md5|sha-?\d+|checksum|digest|etag|commit|revision|integrity|fingerprint)\W{0,4}$")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[-_/+=]+|$|(?=[A-Z0-9]))")
-LETTERS = re.compile(r"[A-Za-z]+=*")
+WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,14}|[A-Z]{2,15}(?![A-Z]{2})|[0-9]{1,4})(?:[-_/+=]+|$|(?=[A-Z0-9]))")
 TAIL = re.compile(r"\S*$")
+PORT = re.compile(r"[0-9]{1,5}/")
+USER_INFO_ENDS = re.compile(r"[^\s/?#@]*@")
+QUERY_KEY = re.compile(r"[A-Za-z0-9_-]+=(?=[^=])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,7 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def is_identifier(run: str, before: str) -> bool:
     """Whether a run is a labelled digest or a name rather than a secret; before: the text in front of it."""
     core = run.strip("-_=/+")
-    if UUID.fullmatch(core) or core.isdigit() or LETTERS.fullmatch(core) or "://" in TAIL.search(before).group():
+    if UUID.fullmatch(core) or core.isdigit():
         return True
     if DIGEST.fullmatch(core) and DIGEST_LABEL.search(before):
         return True
@@ -60,13 +65,28 @@ def is_identifier(run: str, before: str) -> bool:
     return pos == len(core)
 
 
-def dense_spans(text: str, encode, max_chars_per_token: float) -> list[tuple[int, int, int]]:
+def judged_from(text: str, start: int, end: int) -> int:
+    """Where the part of a run begins that may be a secret: its end in a URL's host or path, behind the key in a query."""
+    _, scheme, rest = TAIL.search(text, max(0, start - 64), start).group().rpartition("://")
+    if not scheme:
+        return start
+    if "?" in rest or "#" in rest:
+        key = QUERY_KEY.match(text, start, end)
+        return key.end() if key else start
+    in_authority = not any(c in rest for c in "/@") and (rest.endswith(":") or "/" not in text[start:end]) and not PORT.match(text, start, end)
+    return start if in_authority and USER_INFO_ENDS.match(text, end) else end
+
+
+def dense_spans(text: str, encode, max_chars_per_token: float, max_chars_per_token_short: float) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of runs with at most so many characters per token."""
     out = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if len(set(run)) > 3 and not is_identifier(run, text[max(0, m.start() - 64) : m.start()]) and len(run) <= max_chars_per_token * len(encode(run)):
-            out.append((m.start(), 3, m.end()))
+        end = m.end()
+        start = judged_from(text, m.start(), end)
+        run = text[start:end]
+        if len(run) >= LEAST and len(set(run)) > 3 and not is_identifier(run, text[max(0, start - 64) : start]):
+            if len(run) <= (max_chars_per_token if len(run) >= SHORT else max_chars_per_token_short) * len(encode(run)):
+                out.append((start, 3, end))
     return out
 
 
@@ -74,7 +94,7 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan_secrets(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_chars_per_token: float = 2.2) -> DataFrame:
+def scan_secrets(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_chars_per_token: float = 2.2, max_chars_per_token_short: float = 1.7) -> DataFrame:
     """One row per row of df: its id, counts of the base kinds, base_spans, spans and n_dense.
 
     vocabulary: path of a tiktoken rank file, read on the driver and sent to the executors (under 1 MB). Spans are
@@ -93,7 +113,7 @@ def scan_secrets(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if text else []
-                dense = [d for d in dense_spans(text, encode, max_chars_per_token) if not any(s <= d[0] and d[2] <= e for s, _, e in base)] if text else []
+                dense = [d for d in dense_spans(text, encode, max_chars_per_token, max_chars_per_token_short) if not any(s <= d[0] and d[2] <= e for s, _, e in base)] if text else []
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), joined(base), joined(base + dense), len(dense)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
