@@ -150,6 +150,13 @@ def test_benchmark_passages(spark, corpus, odd_rows):
     assert kept.columns == corpus(rows).columns and kept.count() == len(rows) - 4
 
 
+def test_items_shorter_than_a_seed_are_found(spark, corpus, odd_rows):
+    rows = odd_rows + [(100, "so we ask: What is\tthe capital of Peru ? and go on"), (101, "what is the capital of Spain ?"), (102, "Capital"), (103, "the capital of Peru")]
+    bench = spark.createDataFrame([(1, "what is the Capital of peru ?"), (2, "capital"), (3, "of Peru"), (4, " \n"), (5, ""), (6, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.matched, r.item_words, r.doc_from, r.doc_to) for r in decontaminate.contaminated(corpus(rows), bench).collect()}
+    assert got == {(100, 1): (7, 7, 7, 3, 9), (100, 2): (1, 1, 1, 6, 6), (100, 3): (2, 2, 2, 7, 8), (101, 2): (1, 1, 1, 3, 3), (102, 2): (1, 1, 1, 0, 0), (103, 2): (1, 1, 1, 1, 1), (103, 3): (2, 2, 2, 2, 3)}
+
+
 def test_substitutions_are_found(spark, corpus):
     """Of passages of 30 words with a fifth of them replaced, nearly all have a seed."""
     rng = random.Random(4)

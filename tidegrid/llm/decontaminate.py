@@ -3,7 +3,7 @@
 A mask selects some of SPAN consecutive words and ignores the others, so a hash of the selected words survives
 substitutions at the ignored places. Benchmark items and documents are hashed under the same masks and joined on the
 hash; around each hit the item is laid along the document, and the best stretch (a point for each equal word, minus
-one for each other) decides.
+one for each other) decides. Items shorter than a mask are joined on the hash of all their words.
 """
 
 from __future__ import annotations
@@ -47,6 +47,18 @@ def seeds(df: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], out
     return windows.select(out, F.col("s.at").alias("at"), F.explode("s.hashes").alias("seed"))
 
 
+def runs(df: DataFrame, id_col: str, text_col: str, lengths: list[int], out: str, whole: bool = False) -> DataFrame:
+    """Rows (out, at, seed) of all runs of so many words; whole: of those only that are a text by themselves."""
+    hashed = df.select(F.col(id_col).alias(out), hashed_words(F.col(text_col)).alias("w"))
+    size = F.size("w")
+
+    def of_length(n: int) -> Column:
+        run = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(-n), *(F.col("w")[i + k] for k in range(n))).alias("seed"))
+        return F.when(size == n if whole else size >= n, F.transform(F.sequence(F.lit(0), size - n), run)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
+
+    return hashed.select(out, F.explode(F.flatten(F.array(*(of_length(n) for n in lengths)))).alias("s")).select(out, "s.at", "s.seed")
+
+
 def _best_stretch(equal: Column) -> Column:
     """score, matched, first and last of the stretch of an array of booleans with the most equal minus other entries."""
     zero = F.struct(*(F.lit(x).alias(n) for x, n in ((0, "at"), (0, "run"), (0, "run_from"), (0, "run_hits"), (0, "score"), (0, "matched"), (0, "first"), (-1, "last"))))
@@ -72,15 +84,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     item's words if that is less. doc_from and doc_to are the stretch's first and last word in the document, of the
     alignment with the best score (the earliest, on a tie). Words are compared in lower case.
 
-    Items shorter than a seed (SPAN words) have no seed and are in no result; so are null and empty texts on either
-    side, and rows of null id. Rows of one id are compared each, and the best is kept. Whole texts are searched.
+    Items shorter than a seed (SPAN words) are found where a document holds all their words in a row; so an item of one
+    common word is found in many documents. Null and empty texts on either side are in no result, nor are rows of null
+    id. Rows of one id are compared each, and the best is kept. Whole texts are searched.
     """
     items = checkpointed(benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
-    bench_seeds = checkpointed(seeds(items, "item_id", "text", masks, "item_id").withColumnRenamed("at", "item_at"))
+    worded = items.filter(F.length(F.btrim("text", F.lit(SPACES))) > 0)
+    short = [r["n"] for r in worded.select(F.size(words_of(F.col("text"))).alias("n")).filter(F.col("n") < SPAN).distinct().orderBy("n").collect()]
+    bench_seeds = seeds(items, "item_id", "text", masks, "item_id")
+    if short:
+        bench_seeds = bench_seeds.union(runs(worded, "item_id", "text", short, "item_id", whole=True))
+    bench_seeds = checkpointed(bench_seeds.withColumnRenamed("at", "item_at"))
     n_seeds = bench_seeds.count()
     few = n_seeds <= FEW_SEEDS
     docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    doc_seeds = seeds(docs, "doc_id", "text", masks, "doc_id").withColumnRenamed("at", "doc_at")
+    doc_seeds = seeds(docs, "doc_id", "text", masks, "doc_id")
+    if short:
+        doc_seeds = doc_seeds.union(runs(docs, "doc_id", "text", short, "doc_id"))
+    doc_seeds = doc_seeds.withColumnRenamed("at", "doc_at")
     hits = doc_seeds.join(F.broadcast(bench_seeds) if few else bench_seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = checkpointed(hits)
 
