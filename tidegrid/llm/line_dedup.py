@@ -2,16 +2,18 @@
 
 A line's tokens are its runs of `words` words (a shorter line is one token). Equal lines are grouped first. Two
 different lines are similar if the Jaccard similarity of their token sets is at least num / den. In any one order of
-all tokens, two similar sets of sizes x and y share a token among the first x - ceil(t x) + 1 and y - ceil(t y) + 1.
+all tokens, two similar sets of sizes x and y share a token among the first x - ceil(t x) + 1 and y - ceil(t y) + 1;
+with prefixes that are longer by s - 1 tokens, they share s.
 
-1. With tokens in the order of their hashes, lines whose prefix holds no token of another line's prefix have no similar
-   line. They are nearly all lines, and only prefixes have moved so far.
-2. For the others, tokens are counted and put in order of rarity; lines meet at the rare tokens of their prefixes, by
-   the length filter (sizes within t) and the positional filter (what can still be shared behind the tokens met).
+1. In the order of the tokens' hashes, which needs no counts, prefixes longer by a twentieth are held against each other.
+   A line that shares fewer tokens there than any partner would is done; only prefixes have moved so far.
+2. For the other lines, tokens are counted and put in order of rarity; lines meet at the rare tokens of their prefixes,
+   by the length filter (sizes within t) and the positional filter (what can still be shared behind the tokens met).
 3. Pairs are verified on the whole sets, and a line goes if an earlier one is similar or equal.
 
-Where many lines meet at one token, each is held against the earliest of them first; those that it accounts for are
-done, as one earlier line is enough, and only the rest meets every earlier line there.
+Where many lines meet at one token, each is held against the earliest of them first, then against the earliest of each
+of a few hash classes, and at last against those that are earlier than what it has found. A line of a large group of
+near copies so meets few of them, and what it finds is the earliest similar line.
 """
 
 from __future__ import annotations
@@ -19,153 +21,179 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, WORD, checkpointed
+from .common import SPACE_CLASS, SPACES, WORD, checkpointed, column, fresh_names
 
-#: Lines, or documents with some lines' places, that are sent to all executors at most (about 100 bytes each); beyond it
-#: tables are joined by shuffle.
+#: Documents with some lines' places that are sent to all executors at most (about 100 bytes each); beyond it the join
+#: is by shuffle.
 FEW_LINES = 500_000
-#: Tokens that are sent to all executors at most (about 32 bytes each).
-FEW_TOKENS = 2_000_000
+#: One more shared token is asked for, and one more looked at, for so many of a line.
+LONGER = 20
+#: Hash classes of the lines at one token, of which the earliest ones are met in the second round.
+CLASSES = 16
+
+
+def odd_spaces(line: Column) -> Column:
+    """Whether a line's words are not simply what stands between single spaces."""
+    marks = line.startswith(" ") | line.endswith(" ")
+    for s in ("  ", "\t", "\r", "\x0b", "\f"):
+        marks = marks | line.contains(s)
+    return marks
 
 
 def line_words(line: Column) -> Column:
     """Words of a line that is not blank."""
-    # most lines have single spaces between words, and a split at one character needs no pattern matching
-    simple = ~line.rlike(r"[\t\x0B\f\r]|  |^ | $")
     low = F.lower(line)
-    return F.when(simple, F.split(low, " ")).otherwise(F.split(F.btrim(low, F.lit(SPACES)), SPACE_CLASS))
+    # a split at one character needs no pattern matching
+    return F.when(~odd_spaces(line), F.split(low, " ")).otherwise(F.split(F.btrim(low, F.lit(SPACES)), SPACE_CLASS))
 
 
-def line_tokens(w: Column, words: int) -> Column:
-    """Distinct hashes of the runs of `words` words, ascending; of all words, if there are fewer."""
-    short = F.array(F.xxhash64(F.lit(-1), w))
+def line_tokens(h: Column, words: int) -> Column:
+    """Distinct hashes of the runs of `words` words, ascending; of all words, if there are fewer. h: hashes of a line's words."""
+    short = F.array(F.xxhash64(F.lit(-1), h))
     # words by place: slice() would copy the whole array for each run
-    runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, words))))
-    return F.when(F.size(w) < words, short).otherwise(F.sort_array(F.array_distinct(F.slice(runs, F.lit(1), F.size(w) - (words - 1)))))
+    runs = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, words))))
+    return F.when(F.size(h) < words, short).otherwise(F.sort_array(F.array_distinct(F.slice(runs, F.lit(1), F.size(h) - (words - 1)))))
 
 
 def prefix_length(n: Column, num: int, den: int) -> Column:
     return (n - F.ceil(n * num / den) + 1).cast("int")
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, w): lines with a word, numbered in their text."""
-    cut = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return cut.filter(F.col("line").rlike(WORD)).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
+def _asked(n: Column) -> Column:
+    """Tokens by which a set of n is asked to meet another of its size."""
+    return (F.lit(1) + F.floor(n / LONGER)).cast("int")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """docs with line_no and line in place of text: the lines with a word."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*rest, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
 
 
-def _sent(df: DataFrame, most: int) -> DataFrame:
-    """A written table, to be sent to all executors if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def _tokenized(lines: DataFrame, words: int) -> DataFrame:
+    """lines with two hashes of their words, k1 and k2, and their tokens t in place of line."""
+    rest = [c for c in lines.columns if c != "line"]
+    worded = lines.select(*rest, "line", line_words(F.col("line")).alias("w"))
+    same = F.when(~odd_spaces(F.col("line")), F.lower("line")).otherwise(F.array_join("w", " "))
+    hashed = worded.select(*rest, F.xxhash64(same).alias("k1"), F.xxhash64(F.lit(7), same).alias("k2"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.select(*rest, "k1", "k2", line_tokens(F.col("h"), words).alias("t"))
 
 
-def _earlier(a: str, b: str) -> Column:
-    return F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
+def _hash_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A shuffled join in which the smaller side's partitions are hashed, so that the larger is not sorted."""
+    return big.join(small.hint("shuffle_hash"), on, how)
 
 
 def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line that goes: doc_id, line_no (from 0), kept_doc, kept_line, shared, either.
 
-    kept_doc and kept_line are the earliest similar line, by id and then by line; shared / either is the similarity
-    of the token sets (1 / 1 if the words are equal). A line with an equal earlier line is compared to the first of its
-    equals. Lines are compared in lower case, by their words; blank lines are no lines. Null and empty texts and rows
-    of null id have no lines. Rows of one id: lines of equal place are taken as one row each. Whole texts are read.
+    kept_doc and kept_line are the earliest line that is equal or, if none is, the earliest similar one, by id and then
+    by line; of equal lines the first stands for all. shared / either is the similarity of the token sets (1 / 1 if the
+    words are equal). Lines are compared in lower case, by their words; blank lines are no lines. Null and empty texts
+    and rows of null id have no lines. Ids are of any type that has an order. Rows of one id are one document: where
+    their lines of equal place are equal, they are one line. Whole texts are read; other columns of df are not.
     """
     num, den = similarity
-    docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _lines(docs, "doc_id", "text").select("doc_id", "line_no", F.xxhash64("w").alias("k1"), line_tokens(F.col("w"), words).alias("t"))
-    # two hashes, one of the words and one of the runs: lines with both equal are equal
-    prefix = F.slice("t", F.lit(1), prefix_length(F.size("t"), num, den))
-    seen = checkpointed(lines.select("doc_id", "line_no", "k1", F.xxhash64("t").alias("k2"), prefix.alias("prefix")))
-
-    first = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    first = first.select("k1", "k2", F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"), "copies")
-    gone_equal = seen.select("doc_id", "line_no", "k1", "k2").join(first.filter("copies > 1"), ["k1", "k2"]).filter("doc_id <> f_doc OR line_no <> f_line")
-
-    # 1: prefixes in the order of hashes, of one line of each set of equal ones
-    repeated = checkpointed(first.filter("copies > 1").select("k1", F.col("k2").alias("r2"), "f_doc", "f_line"))
-    only = seen.join(_sent(repeated, FEW_LINES), "k1", "left").filter("f_doc IS NULL OR k2 <> r2 OR (doc_id = f_doc AND line_no = f_line)")
-    entries = only.select(F.explode("prefix").alias("token"), "k1")
-    shared = checkpointed(entries.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("token"))
-    meets = entries.join(_sent(shared, FEW_TOKENS), "token", "left_semi").select("k1").distinct()
-    active = first.join(meets, "k1", "left_semi").select(F.col("f_doc").alias("doc_id"), F.col("f_line").alias("line_no"))
-
-    # 2: the whole sets of those lines, in order of rarity
-    by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line_no").alias("active")))
-    near = docs.join(_sent(by_doc, FEW_LINES), "doc_id").select("doc_id", "active", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    near = near.filter(F.array_contains("active", F.col("line_no"))).select("doc_id", "line_no", line_words(F.col("line")).alias("w"))
-    sets = checkpointed(near.select(_line_id("doc_id", "line_no").alias("id"), "doc_id", "line_no", line_tokens(F.col("w"), words).alias("t")))
-    held = sets
-    spread = sets.select("doc_id", "line_no", F.explode("t").alias("token"))
-    common = checkpointed(spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1"))
-    met = spread.join(_sent(common, FEW_TOKENS), "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("met"))
-    # tokens of one line only come first in the order, and no line meets another there
-    ordered = sets.join(met, ["doc_id", "line_no"]).select("doc_id", "line_no", F.size("t").alias("n"), "met")
+    docs = df.filter(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    prefix = F.slice("t", F.lit(1), prefix_length(F.col("n"), num, den) - 1 + _asked(F.col("n")))
+    # a line's number holds as the rows are written
+    seen = checkpointed(_tokenized(_lines(docs), words).withColumn("n", F.size("t")).select(F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "k1", "k2", "n", prefix.alias("prefix")))
+    lines = seen.select("lid", "k1", "k2", "n", F.struct("doc_id", "line_no").alias("o"))
+
+    first = checkpointed(lines.groupBy("k1", "k2").agg(F.min(F.struct("o", "lid", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "f.*", "copies"))
+    again = first.filter("copies > 1").select("k1", "k2", F.col("o").alias("kept"))
+    gone_equal = _hash_join(lines.select("k1", "k2", "o"), again, ["k1", "k2"]).filter("o <> kept").select("o", "kept", F.lit(1).alias("shared"), F.lit(1).alias("either")).distinct()
+
+    # 1: prefixes in the order of hashes. Of the tokens met there, those count that more lines have than equal ones
+    entries = seen.select(F.explode("prefix").alias("token"), "lid")
+    common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    met = _hash_join(entries, common, "token").groupBy("lid", "lines").agg(F.count(F.lit(1)).alias("tokens"))
+    met = met.join(first.select("lid", "k1", "n", "copies", "o"), "lid").filter("lines > copies").groupBy("lid").agg(F.sum("tokens").alias("tokens"), F.first("n").alias("n"), F.first("k1").alias("k1"), F.first("o").alias("o"))
+    active = met.filter(F.col("tokens") >= _asked(F.ceil(F.col("n") * num / den))).select("o.doc_id", F.struct("o.line_no", "k1", "lid").alias("line"))
+    by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line").alias("active")))
+
+    # 2: the whole sets of those lines, in order of rarity; tokens of one line only come first, and no line meets another there
+    texts = docs.join(F.broadcast(by_doc) if by_doc.count() <= FEW_LINES else by_doc, "doc_id")
+    own = F.filter("active", lambda x: (x["line_no"] == F.col("line_no")) & (x["k1"] == F.col("k1")))
+    near = _lines(texts).filter(F.exists("active", lambda x: x["line_no"] == F.col("line_no")))
+    near = _tokenized(near, words).withColumn("own", own).filter(F.size("own") > 0)
+    sets = checkpointed(near.select(F.col("own")[0]["lid"].alias("lid"), F.struct("doc_id", "line_no").alias("o"), F.size("t").alias("n"), "t"))
+    spread = sets.select("lid", "n", F.explode("t").alias("token"))
+    common = spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    met = _hash_join(spread, common, "token").groupBy("lid", "n").agg(F.sort_array(F.collect_set(F.struct("lines", "token"))).alias("met"))
     unique = F.col("n") - F.size("met")
-    place = F.posexplode(F.slice("met", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), num, den) - unique)))
-    postings = ordered.select("doc_id", "line_no", "n", unique.alias("skip"), place.alias("i", "m")).select("doc_id", "line_no", "n", (F.col("skip") + F.col("i")).alias("at"), F.col("m.token").alias("token"))
-    postings = checkpointed(postings)
-
-    # 3: the earliest line of each token first, then every earlier line for those that are left
-    hub = postings.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("h"), F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    hub = hub.select("token", F.col("h.doc_id").alias("a_doc"), F.col("h.line_no").alias("a_line"), F.col("h.n").alias("a_n"), F.col("h.at").alias("a_at"))
-    mine = postings.select("token", F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    near_hub = checkpointed(_verified(_filtered(mine.join(hub, "token"), num, den), held, num, den))
-    done = near_hub.select("b_doc", "b_line").distinct()
-    left = mine.join(done, ["b_doc", "b_line"], "left_anti")
-    theirs = postings.select("token", F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    rest = left.join(theirs, "token").join(hub.select("token", F.col("a_doc").alias("h_doc"), F.col("a_line").alias("h_line")), "token").filter("a_doc <> h_doc OR a_line <> h_line")
-    near = near_hub.union(_verified(_filtered(rest, num, den), held, num, den))
-    best = near.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line", "shared", "either")).alias("s"))
-    gone_near = best.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"), F.col("s.a_doc").alias("kept_doc"), F.col("s.a_line").alias("kept_line"), F.col("s.shared").alias("shared"), F.col("s.either").alias("either"))
-    return gone_equal.select("doc_id", "line_no", F.col("f_doc").alias("kept_doc"), F.col("f_line").alias("kept_line"), F.lit(1).alias("shared"), F.lit(1).alias("either")).union(gone_near)
-
-
-def _filtered(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a earlier than b) that the length and positional filters leave, once each."""
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den))
-    most = 1 + F.least(F.col("a_n") - F.col("a_at") - 1, F.col("b_n") - F.col("b_at") - 1)
-    behind = F.least("a_at", "b_at")  # what the tokens before may share at most
-    fine = _earlier("a", "b") & (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num) & (most + behind >= need)
-    return met.filter(fine).select("a_doc", "a_line", "b_doc", "b_line").distinct()
-
-
-def _line_id(doc: str, line: str) -> Column:
-    """One number to join lines on, as tables keyed by one number are sent in little memory; _same() then tells lines apart."""
-    return F.xxhash64(doc, line)
-
-
-def _same(side: str) -> Column:
-    return F.abs(F.col("doc_id") - F.col(f"{side}_doc")) + F.abs(F.col("line_no") - F.col(f"{side}_line")) < 1
-
-
-def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    pairs = checkpointed(pairs.select("*", _line_id("a_doc", "a_line").alias("a_id"), _line_id("b_doc", "b_line").alias("b_id")))
-    b = held.join(_sent(pairs.withColumn("id", F.col("b_id")), FEW_LINES), "id").filter(_same("b")).select("a_id", "a_doc", "a_line", "b_doc", "b_line", F.col("t").alias("b_t"))
-    a = held.join(_sent(pairs.select(F.col("a_id").alias("id")).distinct(), FEW_LINES), "id", "left_semi").select(F.col("id").alias("a_id"), "doc_id", "line_no", F.col("t").alias("a_t"))
-    both = b.join(a, "a_id").filter(_same("a"))
-    sized = both.select("a_doc", "a_line", "b_doc", "b_line", F.size(F.array_intersect("a_t", "b_t")).alias("shared"), (F.size("a_t") + F.size("b_t")).alias("sum"))
-    return sized.filter(F.col("shared") * den >= (F.col("sum") - F.col("shared")) * num).select("a_doc", "a_line", "b_doc", "b_line", "shared", (F.col("sum") - F.col("shared")).alias("either"))
+    rare = F.slice("met", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), num, den) - unique))
+    postings = met.filter(F.size(rare) > 0).select("lid", "n", unique.alias("skip"), F.posexplode(rare).alias("i", "m"))
+    postings = postings.join(sets.select("lid", "o").distinct(), "lid")
+    postings = checkpointed(postings.select(F.col("m.token").alias("token"), "lid", "o", "n", (F.col("skip") + F.col("i")).alias("at")))
+
+    # 3: the earliest line of each token, then the earliest of each class, then whatever is earlier than what was found
+    line = F.struct("o", "lid", "n", "at").alias("line")
+    each = postings.groupBy("token", F.pmod(F.xxhash64("lid"), F.lit(CLASSES)).alias("class")).agg(F.min(line).alias("line"), F.count(F.lit(1)).alias("lines"))
+    hubs = checkpointed(each.groupBy("token").agg(F.min("line").alias("hub"), F.sum("lines").alias("lines"), F.collect_list("line").alias("firsts")).filter("lines > 1"))
+    hub = hubs.select("token", F.col("hub.o").alias("least"), F.col("hub.lid").alias("hub_lid"))
+    mine = checkpointed(postings.select("token", *(F.col(c).alias(f"b_{c}") for c in ("lid", "o", "n", "at"))).join(hub, "token").filter("least < b_o"))
+
+    best = _verified(_met(mine, hubs.select("token", F.col("hub").alias("a")), F.col("b_o"), num, den), sets, num, den)
+    for others in (hubs.filter(F.size("firsts") > 1).select("token", F.explode("firsts").alias("a")), postings.select("token", line.alias("a"))):
+        left = mine.join(best.select(F.col("b").alias("b_lid"), F.col("a_o").alias("found")), "b_lid", "left").withColumn("limit", F.coalesce("found", "b_o")).filter("least < limit")
+        met = _met(left, others, F.col("limit"), num, den, but=F.col("hub_lid"))
+        best = _best(best.unionByName(_verified(met, sets, num, den)))
+    gone_near = best.select(F.col("b_o").alias("o"), F.col("a_o").alias("kept"), "shared", "either")
+    gone = gone_equal.union(gone_near)
+    return gone.select("o.doc_id", "o.line_no", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line_no").alias("kept_line"), "shared", "either")
+
+
+def _met(mine: DataFrame, others: DataFrame, limit: Column, num: int, den: int, but: Column | None = None) -> DataFrame:
+    """Pairs of lines (a, b), a earlier than b's limit, that meet at a token and that the length and positional filters leave."""
+    a_n, a_at = F.col("a.n"), F.col("a.at")
+    need = F.ceil((a_n + F.col("b_n")) * num / (num + den))
+    most = 1 + F.least(a_n - a_at - 1, F.col("b_n") - F.col("b_at") - 1)
+    behind = F.least(a_at, F.col("b_at"))  # what the tokens before may share at most
+    fine = (F.col("a.o") < limit) & (a_n * den >= F.col("b_n") * num) & (F.col("b_n") * den >= a_n * num) & (most + behind >= need)
+    if but is not None:
+        fine = fine & (F.col("a.lid") != but)
+    right = others.withColumnRenamed("token", "a_token")
+    met = mine.join(right, (F.col("token") == F.col("a_token")) & fine)
+    return met.select(F.col("a.lid").alias("a"), F.col("a.o").alias("a_o"), F.col("b_lid").alias("b"), "b_o").distinct()
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The earliest of each line's similar lines."""
+    least = pairs.groupBy("b").agg(F.min(F.struct("a_o", "shared", "either")).alias("s"), F.min("b_o").alias("b_o"))
+    return checkpointed(least.select("b", "b_o", "s.a_o", "s.shared", "s.either"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each line b of the pairs the earliest that is similar on the whole sets."""
+    pairs = checkpointed(pairs)
+    b = pairs.join(sets.select(F.col("lid").alias("b"), F.col("t").alias("b_t")), "b")
+    both = b.join(sets.select(F.col("lid").alias("a"), F.col("t").alias("a_t")), "a")
+    shared, total = F.size(F.array_intersect("a_t", "b_t")), F.size("a_t") + F.size("b_t")
+    sized = both.select("b", "b_o", "a_o", shared.alias("shared"), total.alias("total"))
+    good = sized.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num)
+    return _best(good.select("b", "b_o", "a_o", "shared", (F.col("total") - F.col("shared")).alias("either")))
 
 
 def without_repeated_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """df with the removed lines taken out of its texts, and without documents of which nothing but blank lines is left.
 
     count_col, if df has it, is set to the new text's length where lines were removed. Texts that lose no line, empty
-    texts among them, stay as they are.
+    texts and rows of a null id among them, stay as they are. Rows of one id lose the same places.
     """
     gone = removed_lines(df, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
-    by_doc = checkpointed(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone")))
-    joined = df.join(_sent(by_doc, FEW_LINES), F.col(id_col) == F.col("__doc"), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    out = out.filter(F.col("__gone").isNull() | F.col("__text").rlike(WORD))
+    doc, places, left = fresh_names(df, "doc", "places", "left")
+    by_doc = checkpointed(gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(places)))
+    joined = df.join(F.broadcast(by_doc) if by_doc.count() <= FEW_LINES else by_doc, column(id_col) == F.col(doc), "left")
+    kept = F.filter(F.split(column(text_col), "\n"), lambda line, i: ~F.array_contains(places, i))
+    out = joined.withColumn(left, F.when(F.col(places).isNull(), column(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = out.filter(F.col(places).isNull() | F.col(left).rlike(WORD))
     columns = []
     for c in df.columns:
         if c == text_col:
-            columns.append(F.col("__text").alias(c))
+            columns.append(F.col(left).alias(c))
         elif c == count_col:
-            columns.append(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__text")).cast(df.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(places).isNull(), column(c)).otherwise(F.length(left)).cast(df.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(column(c))
     return out.select(*columns)
