@@ -20,8 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, SPACES, WORD, checkpointed, column, fresh_names
+from .common import SPACE_CLASS, SPACES, WORD, checkpointed, column, dropped, fresh_names, written
 
 #: Documents with some lines' places that are sent to all executors at most (about 100 bytes each); beyond it the join
 #: is by shuffle.
@@ -32,21 +33,6 @@ LONGER = 20
 CLASSES = 16
 
 
-def odd_spaces(line: Column) -> Column:
-    """Whether a line's words are not simply what stands between single spaces."""
-    marks = line.startswith(" ") | line.endswith(" ")
-    for s in ("  ", "\t", "\r", "\x0b", "\f"):
-        marks = marks | line.contains(s)
-    return marks
-
-
-def line_words(line: Column) -> Column:
-    """Words of a line that is not blank."""
-    low = F.lower(line)
-    # a split at one character needs no pattern matching
-    return F.when(~odd_spaces(line), F.split(low, " ")).otherwise(F.split(F.btrim(low, F.lit(SPACES)), SPACE_CLASS))
-
-
 def line_tokens(h: Column, words: int) -> Column:
     """Distinct hashes of the runs of `words` words, ascending; of all words, if there are fewer. h: hashes of a line's words."""
     short = F.array(F.xxhash64(F.lit(-1), h))
@@ -73,10 +59,17 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _tokenized(lines: DataFrame, words: int) -> DataFrame:
     """lines with two hashes of their words, k1 and k2, and their tokens t in place of line."""
     rest = [c for c in lines.columns if c != "line"]
-    worded = lines.select(*rest, "line", line_words(F.col("line")).alias("w"))
-    same = F.when(~odd_spaces(F.col("line")), F.lower("line")).otherwise(F.array_join("w", " "))
-    hashed = worded.select(*rest, F.xxhash64(same).alias("k1"), F.xxhash64(F.lit(7), same).alias("k2"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.select(*rest, "k1", "k2", line_tokens(F.col("h"), words).alias("t"))
+    low = lines.select(*rest, F.lower("line").alias("low"))
+    # most lines have single spaces between words; a split at one character needs no pattern matching
+    low = low.select(*rest, "low", F.split("low", " ").alias("w"))
+    odd = F.array_contains("w", "")
+    for s in ("\t", "\r", "\x0b", "\f"):
+        odd = odd | F.col("low").contains(s)
+    cut = low.select(*rest, "low", "w", odd.alias("odd"))
+    cut = cut.select(*rest, "low", "odd", F.when(F.col("odd"), F.split(F.btrim("low", F.lit(SPACES)), SPACE_CLASS)).otherwise(F.col("w")).alias("w"))
+    same = F.when(F.col("odd"), F.array_join("w", " ")).otherwise(F.col("low"))
+    hashed = cut.select(*rest, same.alias("same"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.select(*rest, F.xxhash64("same").alias("k1"), F.xxhash64(F.lit(7), "same").alias("k2"), line_tokens(F.col("h"), words).alias("t"))
 
 
 def _hash_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -97,12 +90,13 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     docs = df.filter(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     prefix = F.slice("t", F.lit(1), prefix_length(F.col("n"), num, den) - 1 + _asked(F.col("n")))
     # a line's number holds as the rows are written
-    seen = checkpointed(_tokenized(_lines(docs), words).withColumn("n", F.size("t")).select(F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "k1", "k2", "n", prefix.alias("prefix")))
+    seen = written(_tokenized(_lines(docs), words).withColumn("n", F.size("t")).select(F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "k1", "k2", "n", prefix.alias("prefix")))
     lines = seen.select("lid", "k1", "k2", "n", F.struct("doc_id", "line_no").alias("o"))
 
     first = checkpointed(lines.groupBy("k1", "k2").agg(F.min(F.struct("o", "lid", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "f.*", "copies"))
     again = first.filter("copies > 1").select("k1", "k2", F.col("o").alias("kept"))
     gone_equal = _hash_join(lines.select("k1", "k2", "o"), again, ["k1", "k2"]).filter("o <> kept").select("o", "kept", F.lit(1).alias("shared"), F.lit(1).alias("either")).distinct()
+    gone_equal = checkpointed(gone_equal)
 
     # 1: prefixes in the order of hashes. Of the tokens met there, those count that more lines have than equal ones
     entries = seen.select(F.explode("prefix").alias("token"), "lid")
@@ -111,34 +105,36 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     met = met.join(first.select("lid", "k1", "n", "copies", "o"), "lid").filter("lines > copies").groupBy("lid").agg(F.sum("tokens").alias("tokens"), F.first("n").alias("n"), F.first("k1").alias("k1"), F.first("o").alias("o"))
     active = met.filter(F.col("tokens") >= _asked(F.ceil(F.col("n") * num / den))).select("o.doc_id", F.struct("o.line_no", "k1", "lid").alias("line"))
     by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line").alias("active")))
+    dropped(seen)
 
     # 2: the whole sets of those lines, in order of rarity; tokens of one line only come first, and no line meets another there
     texts = docs.join(F.broadcast(by_doc) if by_doc.count() <= FEW_LINES else by_doc, "doc_id")
     own = F.filter("active", lambda x: (x["line_no"] == F.col("line_no")) & (x["k1"] == F.col("k1")))
     near = _lines(texts).filter(F.exists("active", lambda x: x["line_no"] == F.col("line_no")))
     near = _tokenized(near, words).withColumn("own", own).filter(F.size("own") > 0)
-    sets = checkpointed(near.select(F.col("own")[0]["lid"].alias("lid"), F.struct("doc_id", "line_no").alias("o"), F.size("t").alias("n"), "t"))
+    sets = written(near.select(F.col("own")[0]["lid"].alias("lid"), F.struct("doc_id", "line_no").alias("o"), F.size("t").alias("n"), "t"))
     spread = sets.select("lid", "n", F.explode("t").alias("token"))
     common = spread.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    met = _hash_join(spread, common, "token").groupBy("lid", "n").agg(F.sort_array(F.collect_set(F.struct("lines", "token"))).alias("met"))
-    unique = F.col("n") - F.size("met")
-    rare = F.slice("met", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), num, den) - unique))
-    postings = met.filter(F.size(rare) > 0).select("lid", "n", unique.alias("skip"), F.posexplode(rare).alias("i", "m"))
-    postings = postings.join(sets.select("lid", "o").distinct(), "lid")
-    postings = checkpointed(postings.select(F.col("m.token").alias("token"), "lid", "o", "n", (F.col("skip") + F.col("i")).alias("at")))
+    met = _hash_join(spread, common, "token")
+    # a line that stands in two equal rows has each token twice, so ranks are dense
+    of_line = Window.partitionBy("lid")
+    met = met.withColumn("r", F.dense_rank().over(of_line.orderBy("lines", "token"))).withColumn("unique", F.col("n") - F.max("r").over(of_line))
+    rare = met.filter(F.col("r") <= prefix_length(F.col("n"), num, den) - F.col("unique")).select("token", "lid", "n", "unique", (F.col("unique") + F.col("r") - 1).alias("at"))
+    postings = checkpointed(rare.join(sets.select("lid", "o").distinct(), "lid").select("token", "lid", "o", "n", "unique", "at").distinct())
 
     # 3: the earliest line of each token, then the earliest of each class, then whatever is earlier than what was found
-    line = F.struct("o", "lid", "n", "at").alias("line")
+    line = F.struct("o", "lid", "n", "unique", "at").alias("line")
     each = postings.groupBy("token", F.pmod(F.xxhash64("lid"), F.lit(CLASSES)).alias("class")).agg(F.min(line).alias("line"), F.count(F.lit(1)).alias("lines"))
     hubs = checkpointed(each.groupBy("token").agg(F.min("line").alias("hub"), F.sum("lines").alias("lines"), F.collect_list("line").alias("firsts")).filter("lines > 1"))
     hub = hubs.select("token", F.col("hub.o").alias("least"), F.col("hub.lid").alias("hub_lid"))
-    mine = checkpointed(postings.select("token", *(F.col(c).alias(f"b_{c}") for c in ("lid", "o", "n", "at"))).join(hub, "token").filter("least < b_o"))
+    mine = checkpointed(postings.select("token", *(F.col(c).alias(f"b_{c}") for c in ("lid", "o", "n", "unique", "at"))).join(hub, "token").filter("least < b_o"))
 
     best = _verified(_met(mine, hubs.select("token", F.col("hub").alias("a")), F.col("b_o"), num, den), sets, num, den)
     for others in (hubs.filter(F.size("firsts") > 1).select("token", F.explode("firsts").alias("a")), postings.select("token", line.alias("a"))):
         left = mine.join(best.select(F.col("b").alias("b_lid"), F.col("a_o").alias("found")), "b_lid", "left").withColumn("limit", F.coalesce("found", "b_o")).filter("least < limit")
         met = _met(left, others, F.col("limit"), num, den, but=F.col("hub_lid"))
         best = _best(best.unionByName(_verified(met, sets, num, den)))
+    dropped(sets)
     gone_near = best.select(F.col("b_o").alias("o"), F.col("a_o").alias("kept"), "shared", "either")
     gone = gone_equal.union(gone_near)
     return gone.select("o.doc_id", "o.line_no", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line_no").alias("kept_line"), "shared", "either")
@@ -146,16 +142,18 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
 
 def _met(mine: DataFrame, others: DataFrame, limit: Column, num: int, den: int, but: Column | None = None) -> DataFrame:
     """Pairs of lines (a, b), a earlier than b's limit, that meet at a token and that the length and positional filters leave."""
-    a_n, a_at = F.col("a.n"), F.col("a.at")
-    need = F.ceil((a_n + F.col("b_n")) * num / (num + den))
-    most = 1 + F.least(a_n - a_at - 1, F.col("b_n") - F.col("b_at") - 1)
-    behind = F.least(a_at, F.col("b_at"))  # what the tokens before may share at most
-    fine = (F.col("a.o") < limit) & (a_n * den >= F.col("b_n") * num) & (F.col("b_n") * den >= a_n * num) & (most + behind >= need)
+    a_n, b_n, a_at, b_at = F.col("a.n"), F.col("b_n"), F.col("a.at"), F.col("b_at")
+    need = F.ceil((a_n + b_n) * num / (num + den))
+    ahead = F.least(a_n - a_at, b_n - b_at)
+    behind = F.least(a_at - F.col("a.unique"), b_at - F.col("b_unique"))  # what the tokens before may share at most
+    fine = (F.col("a.o") < limit) & (a_n * den >= b_n * num) & (b_n * den >= a_n * num) & (ahead + behind >= need)
     if but is not None:
         fine = fine & (F.col("a.lid") != but)
     right = others.withColumnRenamed("token", "a_token")
     met = mine.join(right, (F.col("token") == F.col("a_token")) & fine)
-    return met.select(F.col("a.lid").alias("a"), F.col("a.o").alias("a_o"), F.col("b_lid").alias("b"), "b_o").distinct()
+    pairs = met.groupBy(F.col("a.lid").alias("a"), F.col("b_lid").alias("b")).agg(F.first("a.o").alias("a_o"), F.first("b_o").alias("b_o"), F.first(need).alias("need"), F.max(ahead).alias("ahead"))
+    # where two lines meet first, nothing is shared before
+    return pairs.filter("ahead >= need").select("a", "a_o", "b", "b_o")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
