@@ -41,9 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     out = df.checkpoint(eager=True)
     del df
+    _let_go(spark)
+    return out
+
+
+def _let_go(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -51,6 +55,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _let_go(spark)
     out = spark.read.schema(df.schema).parquet(folder)
     out._folder = folder
     return out

@@ -51,21 +51,19 @@ def _asked(n: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs with line_no and line in place of text: the lines with a word."""
+    """docs with line_no, line and odd in place of text: the lines with a word, and whether a text has white space other than spaces."""
     rest = [c for c in docs.columns if c != "text"]
-    return docs.select(*rest, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
+    marked = docs.select(*rest, "text", F.col("text").rlike(r"[\t\r\x0B\f]").alias("odd"))
+    return marked.select(*rest, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
 
 
 def _tokenized(lines: DataFrame, words: int) -> DataFrame:
-    """lines with two hashes of their words, k1 and k2, and their tokens t in place of line."""
-    rest = [c for c in lines.columns if c != "line"]
-    low = lines.select(*rest, F.lower("line").alias("low"))
+    """lines with two hashes of their words, k1 and k2, and their tokens t in place of line and odd."""
+    rest = [c for c in lines.columns if c not in ("line", "odd")]
+    low = lines.select(*rest, "odd", F.lower("line").alias("low"))
     # most lines have single spaces between words; a split at one character needs no pattern matching
-    low = low.select(*rest, "low", F.split("low", " ").alias("w"))
-    odd = F.array_contains("w", "")
-    for s in ("\t", "\r", "\x0b", "\f"):
-        odd = odd | F.col("low").contains(s)
-    cut = low.select(*rest, "low", "w", odd.alias("odd"))
+    low = low.select(*rest, "odd", "low", F.split("low", " ").alias("w"))
+    cut = low.select(*rest, "low", "w", (F.col("odd") | F.array_contains("w", "")).alias("odd"))
     cut = cut.select(*rest, "low", "odd", F.when(F.col("odd"), F.split(F.btrim("low", F.lit(SPACES)), SPACE_CLASS)).otherwise(F.col("w")).alias("w"))
     same = F.when(F.col("odd"), F.array_join("w", " ")).otherwise(F.col("low"))
     hashed = cut.select(*rest, same.alias("same"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
