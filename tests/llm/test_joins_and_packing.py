@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import collections
+import math
 import random
 import zlib
 
@@ -36,6 +37,36 @@ def test_matrix_has_the_right_mean():
     assert m == pytest.approx(np.array([[15, 15], [5, 5]]), abs=0.3)
 
 
+@pytest.mark.parametrize("good,bad,draws", [(7, 5, 6), (40, 60, 30), (3, 200, 50), (500, 400, 700)])
+def test_inversion_has_the_law(good, bad, draws):
+    class Fixed:
+        def __init__(self, u):
+            self.u = u
+
+        def random(self):
+            return self.u
+
+    total, upto = math.comb(good + bad, draws), 0
+    for k in range(max(0, draws - bad), min(good, draws) + 1):
+        p = math.comb(good, k) * math.comb(bad, draws - k)
+        if p / total > 1e-9:
+            assert sharding._by_inversion(Fixed((upto + p / 2) / total), good, bad, draws) == k
+        upto += p
+    n = 4 * 10**12
+    drawn = [sharding._by_inversion(np.random.default_rng(i), n // 4, n - n // 4, 10**6) for i in range(200)]
+    assert abs(np.mean(drawn) - 250_000) < 200 and 300 < np.std(drawn) < 580
+
+
+def test_repeated_rows_go_to_all_shards(spark):
+    df = spark.range(20_000).selectExpr("if(id < 4000, 0, id) AS doc_id", "if(id < 4000, 'same', string(id)) AS text")
+    got = sharding.shuffle_into_shards(df, 24)
+    same = {r.shard: r.n for r in got.filter("doc_id = 0").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert len(same) == 24 and 100 < min(same.values()) and max(same.values()) < 240
+    order = [r.doc_id for r in got.filter("shard = 0").orderBy("slot").collect()]
+    beside = sum(a == b == 0 for a, b in zip(order, order[1:]))
+    assert beside < 70  # about a fifth of the shard's fifth
+
+
 def test_shards(spark, corpus, odd_rows):
     rows = odd_rows + [(i, "same text") for i in range(100, 400)]
     got = sharding.shuffle_into_shards(corpus(rows), 7).collect()
@@ -209,6 +240,28 @@ def test_lines_against_all_pairs(spark, corpus, odd_rows):
     assert got == slow_lines(rows, 5, 80, 100)
 
 
+def test_lines_of_ids_that_are_strings_or_far_apart(spark):
+    rows = [("b", "one two three four five six\nalone"), ("a", "One two three four five  six"), ("c", None)]
+    got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.line_no, r.kept_doc, r.kept_line) for r in got] == [("b", 0, "a", 0)]
+    ends = [(-(2**63), "x y z"), (2**63 - 1, "x y z")]
+    got = line_dedup.removed_lines(spark.createDataFrame(ends, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.kept_doc) for r in got] == [(2**63 - 1, -(2**63))]
+
+
+def test_lines_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        line = list(base)
+        for _ in range(rng.randrange(4)):
+            line[rng.randrange(60)] = f"new{rng.randrange(3000)}"
+        rows.append((i, " ".join(line)))
+    got = {(r.doc_id, r.line_no): (r.kept_doc, r.kept_line) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_lines(rows, 5, 80, 100) and len(got) > 150
+
+
 def test_lines_are_taken_out(spark, corpus):
     rows = [(1, "the first line of it all here\nkeep this\n\nend"), (2, "own words\nThe FIRST line of it all here"), (3, "the first line of it all here"), (4, ""), (5, None), (6, "   ")]
     out = line_dedup.without_repeated_lines(corpus(rows))
@@ -258,6 +311,22 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_large_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    for factor in (1.0, 1e200, 1e-200):
+        rows = [(i, (v * factor).tolist()) for i, v in enumerate(x)] + [(20, (x[20] * factor).tolist())] * 2 + [(20, (x[5] * factor).tolist())]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.search(df, F.col("vec_id") % 20 == 0, k=10).collect()
+        assert len(got) == 10 * 6  # 0 and 40, and four rows of 20
+        of_20 = [(r.rank, r.vec_id) for r in got if r.query_id == 20]
+        exact = []
+        for at in (20, 60, 61, 62):
+            scores = sorted((-float(np.dot(x[rows[at][0]] if at < 62 else x[5], np.array(rows[j][1]) / factor)), rows[j][0]) for j in range(len(rows)) if j != at)
+            exact += [(k + 1, i) for k, (_, i) in enumerate(scores[:10])]
+        assert sorted(of_20) == sorted(exact)
+
+
 def test_neighbours_in_one_dense_cluster(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 64))

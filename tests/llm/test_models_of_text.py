@@ -45,7 +45,7 @@ def test_quality_of_odd_texts(spark, corpus, odd_rows):
         rows = quality.score(df, model, metadata=("n_chars",)).collect()
         assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 for r in rows)
         empty = {r.score for r in rows if r.doc_id == 2}
-        kept = quality.score(df, model, metadata=("n_chars",), keep=True)
+        kept = quality.score(df, model, metadata=("n_chars",), keep="quality_score")
         assert kept.columns == [*df.columns, "quality_score"] and kept.count() == len(odd_rows) and len(empty) == 1
     assert quality.score(df.limit(0), model, metadata=("n_chars",)).count() == 0
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidegrid.llm import decontaminate, jaccard_join, packing, quality
 from tidegrid.llm.common import table
@@ -30,3 +32,14 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
+
+
+def test_stages_with_any_other_columns(spark, sf):
+    docs = table(spark, sf, "documents")
+    for c in ("quality_score", "score_", "gone_", "__gone", "__doc", "__text", "doc_", "places", "places_", "left_", "a.b", "t`x", "o", "lid", "token", "label", "Component_ID"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.filter("`a.b` <> 'own a.b' OR `__gone` <> 'own __gone' OR quality_score <> 'own quality_score' OR `t``x` <> 'own t`x'").count() == 0 and out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0

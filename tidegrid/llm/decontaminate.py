@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, checkpointed
+from .common import SPACES, SPACE_CLASS, checkpointed, column, fresh_names
 
 #: Selected places of a window of eight words: five each, so that some mask passes over most sets of two or three substitutions.
 MASKS = ("11101001", "11010011", "10011101")
@@ -42,14 +42,14 @@ def hashed_words(text: Column) -> Column:
 
 def seeds(df: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], out: str) -> DataFrame:
     """Rows (out, at, seed) of all windows of df."""
-    hashed = df.select(F.col(id_col).alias(out), hashed_words(F.col(text_col)).alias("w"))
+    hashed = df.select(column(id_col).alias(out), hashed_words(column(text_col)).alias("w"))
     windows = hashed.select(out, F.explode(seed_hashes(F.col("w"), masks)).alias("s"))
     return windows.select(out, F.col("s.at").alias("at"), F.explode("s.hashes").alias("seed"))
 
 
 def runs(df: DataFrame, id_col: str, text_col: str, lengths: list[int], out: str, whole: bool = False) -> DataFrame:
     """Rows (out, at, seed) of all runs of so many words; whole: of those only that are a text by themselves."""
-    hashed = df.select(F.col(id_col).alias(out), hashed_words(F.col(text_col)).alias("w"))
+    hashed = df.select(column(id_col).alias(out), hashed_words(column(text_col)).alias("w"))
     size = F.size("w")
 
     def of_length(n: int) -> Column:
@@ -88,7 +88,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     common word is found in many documents. Null and empty texts on either side are in no result, nor are rows of null
     id. Rows of one id are compared each, and the best is kept. Whole texts are searched.
     """
-    items = checkpointed(benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+    items = checkpointed(benchmark.filter(column(item_col).isNotNull()).select(column(item_col).alias("item_id"), column(item_text_col).alias("text")))
     worded = items.filter(F.length(F.btrim("text", F.lit(SPACES))) > 0)
     short = [r["n"] for r in worded.select(F.size(words_of(F.col("text"))).alias("n")).filter(F.col("n") < SPAN).distinct().orderBy("n").collect()]
     bench_seeds = seeds(items, "item_id", "text", masks, "item_id")
@@ -97,7 +97,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     bench_seeds = checkpointed(bench_seeds.withColumnRenamed("at", "item_at"))
     n_seeds = bench_seeds.count()
     few = n_seeds <= FEW_SEEDS
-    docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.filter(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     doc_seeds = seeds(docs, "doc_id", "text", masks, "doc_id")
     if short:
         doc_seeds = doc_seeds.union(runs(docs, "doc_id", "text", short, "doc_id"))
@@ -122,5 +122,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def without_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """df without the documents that hold a benchmark item."""
-    gone = contaminated(df, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (other,) = fresh_names(df, "gone")
+    gone = contaminated(df, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(other)).distinct()
+    return df.join(gone, column(id_col) == F.col(other), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, by_bytes, checkpointed, gram_hashes, mix, word_hashes
+from .common import blocks_for, by_bytes, checkpointed, column, fresh_names, gram_hashes, mix, word_hashes
 from .components import connected_components
 
 #: Sizes of one class differ by this factor at most.
@@ -34,8 +34,6 @@ TILE = 1024
 GATHERED = 8192
 #: Ids that are sent to all executors at most; beyond it, tables are joined by shuffle.
 FEW_IDS = 200_000
-#: Regions that are sent to all executors at most (about 32 bytes each).
-FEW_REGIONS = 100_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -236,7 +234,7 @@ def jaccard_components(df: DataFrame, *, words: int = 5, similarity: tuple[int,
     integers; rows of one id are one document with several sets. A null id keeps its row, with a null component.
     """
     num, den = similarity
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def keys(batches):
@@ -257,7 +255,7 @@ def jaccard_components(df: DataFrame, *, words: int = 5, similarity: tuple[int,
     shared = checkpointed(in_region.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # regions with the same documents are one; a very large region keeps its own rows
     usual, large = shared.filter(F.col("n") <= GATHERED).select("region"), shared.filter(F.col("n") > GATHERED)
-    met = in_region.join(F.broadcast(usual) if usual.count() <= FEW_REGIONS else usual, "region", "left_semi")
+    met = in_region.join(usual, "region", "left_semi")
     places = met.groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
     places = places.select("ids", F.lit(None).cast("long").alias("region"), F.size("ids").cast("long").alias("n"))
     if not large.isEmpty():
@@ -372,6 +370,7 @@ def _joined(known: DataFrame, places: DataFrame, vectors: DataFrame, fine: DataF
 def survivors(df: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the documents that are not the smallest of their component. Rows of a null id stay."""
     found = jaccard_components(df, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    (other,) = fresh_names(df, "gone")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    return df.join(gone, column(id_col).cast("long") == F.col(other), "left_anti")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, learnable, sql_type
+from .common import by_bytes, column, learnable, sql_type
 
 SPACE, OTHER, FIRST = 0, 1, 2
 #: Texts are parsed in pieces of so many characters; a phrase ends with its piece.
@@ -172,7 +172,7 @@ def labelled_texts(df: DataFrame, *, id_col: str, text_col: str, lang_col: str,
     least) gives passages from its beginning to its end. Every label is learned, unless max_languages (the most frequent)
     is given.
     """
-    known = df.filter(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = df.filter(learnable(column(id_col)) & column(lang_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     if max_languages is not None:
         frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
         known = known.join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
@@ -222,5 +222,5 @@ def identify(df: DataFrame, languages: list[str], texts: list[str], *, id_col: s
                 scores += np.where(has_letter, sure, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(predict, f"doc_id {sql_type(rows, 'doc_id')}, lang_pred string, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, gram_hashes, sql_type, word_hashes
+from .common import blocks_for, column, gram_hashes, sql_type, word_hashes
 
 ALPHA = 0.4
 
@@ -103,7 +103,7 @@ def backoff_scores(df: DataFrame, *, order: int = 3, id_col: str = "doc_id", tex
     at no cost. Null, empty and blank texts: no words, 0, and a null mean. Null ids keep their rows. An empty table
     gives an empty result. N-grams are told apart by hashes of twice the bits of the corpus size, plus two (40 at least).
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = blocks_for(size, batch_bytes, least_batches)
     ranges = 1 << max(4, math.ceil(math.log2(2 * batches)))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks_for
+from .common import blocks_for, checkpointed, column
 
 SUB_BITS = 8
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -123,9 +123,9 @@ class MultiIndex:
         return q[near], row[near], far[near]
 
 
-def _ranked(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, q: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, q_vectors: np.ndarray, q: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of query and row numbers the k best of each query, best first, and their scores; ties go to the smaller id."""
-    other = ids[row] != q_ids[q]
+    other = rows[row] != q_rows[q]
     q, row = q[other], row[other]
     parts = [(vectors[row[a : a + (1 << 16)]] * q_vectors[q[a : a + (1 << 16)]]).sum(axis=1) for a in range(0, len(q), 1 << 16)]
     score = np.concatenate(parts) if parts else np.zeros(0)  # one order of summing for every pair
@@ -135,24 +135,24 @@ def _ranked(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors:
     return q[best], row[best], score[best]
 
 
-def _scanned(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _scanned(rows: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, q_vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Query and row numbers of all pairs that can be among a query's k best: fast products, with room for their rounding."""
     fast = q_vectors @ vectors.T
     room = 1e-15 * vectors.shape[1] * np.sqrt((q_vectors**2).sum(axis=1) * (vectors**2).sum(axis=1).max())
-    fast[ids[None, :] == q_ids[:, None]] = -np.inf
-    at = max(0, len(ids) - k)
+    fast[rows[None, :] == q_rows[:, None]] = -np.inf
+    at = max(0, len(rows) - k)
     return np.nonzero(fast >= (np.partition(fast, at, axis=1)[:, at] - room)[:, None])
 
 
-def nearest(index: MultiIndex, coder: Coder, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, k: int):
+def nearest(index: MultiIndex, coder: Coder, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, q_vectors: np.ndarray, k: int):
     """Query numbers, row numbers and scores of each query's k best rows of a block, a part of the queries at a time."""
     codes = coder.query_codes(q_vectors)
     words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
     radius = index.parts - 1  # as far as equal substrings reach
     q, row, _ = index.within(codes, words, radius)
-    q, row, score = _ranked(ids, vectors, q_ids, q_vectors, q, row, k)
-    worst = np.full(len(q_ids), -np.inf)
-    full = np.bincount(q, minlength=len(q_ids)) == k
+    q, row, score = _ranked(rows, ids, vectors, q_rows, q_vectors, q, row, k)
+    worst = np.full(len(q_rows), -np.inf)
+    full = np.bincount(q, minlength=len(q_rows)) == k
     worst[full] = score[np.searchsorted(q, np.flatnonzero(full)) + k - 1]
     need = coder.radii(q_vectors, worst)
     proven = need[q] <= radius
@@ -162,11 +162,11 @@ def nearest(index: MultiIndex, coder: Coder, ids: np.ndarray, vectors: np.ndarra
     for r in np.unique(need[farther]):
         mine = np.flatnonzero(need == r)
         q, row, _ = index.within(codes[mine], words[mine], int(r))
-        q, row, score = _ranked(ids, vectors, q_ids[mine], q_vectors[mine], q, row, k)
+        q, row, score = _ranked(rows, ids, vectors, q_rows[mine], q_vectors[mine], q, row, k)
         yield mine[q], row, score
     mine = np.flatnonzero(need >= 2 * index.parts)
     if len(mine):
-        q, row, score = _ranked(ids, vectors, q_ids[mine], q_vectors[mine], *_scanned(ids, vectors, q_ids[mine], q_vectors[mine], k), k)
+        q, row, score = _ranked(rows, ids, vectors, q_rows[mine], q_vectors[mine], *_scanned(rows, vectors, q_rows[mine], q_vectors[mine], k), k)
         yield mine[q], row, score
 
 
@@ -190,37 +190,44 @@ def search(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_co
     the result is exact. Rotations are fitted on at most `sample` rows.
 
     Rows with unusable() vectors, null ids, or another dimension than the most frequent one take no part. A query's
-    own id is not among its answers. Repeated rows are ranked each. No rows: an empty result.
+    own row is not among its answers. Rows that repeat an id are rows of their own, as queries and as answers. Vectors
+    are scaled by a power of two inside, so that large ones don't overflow before their scores do. No rows: an empty result.
     """
-    rows = df.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    rows = df.filter(usable(column(vector_col)) & column(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), column(id_col).cast("long").alias("vec_id"), column(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = checkpointed(rows).withColumn("v", F.col("v").cast("array<double>"))  # a row's number holds as it is written
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), largest.alias("largest")).orderBy(F.desc("n"), "dim").limit(1).collect()
     spark = df.sparkSession
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total, n_queries, norm = dims[0]["dim"], dims[0]["n"], dims[0]["q"], dims[0]["square"] ** 0.5
+    dim, total, n_queries = dims[0]["dim"], dims[0]["n"], dims[0]["q"]
+    scale = 2.0 ** -int(np.clip(np.frexp(dims[0]["largest"])[1], -1000, 1000))
     rows = rows.filter(F.size("v") == dim)
+    norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * scale) * (x * scale)))).first()[0] ** 0.5
     taken = rows.select("vec_id", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(sample).select("v").toArrow()
-    coder = learn(_matrix(taken.column("v"), dim), norm, bits=bits, seed=seed)
+    coder = learn(_matrix(taken.column("v"), dim) * scale, norm, bits=bits, seed=seed)
 
     blocks, query_blocks = blocks_for(total, rows_per_block, least_blocks), blocks_for(n_queries, queries_per_block)
-    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int").alias("block")
-    query_block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(query_blocks)).cast("int").alias("query_block")
-    index = rows.select("vec_id", "v", block).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.filter("is_query").select("vec_id", "v", query_block).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    block = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(blocks)).cast("int").alias("block")
+    query_block = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(query_blocks)).cast("int").alias("query_block")
+    index = rows.select("row", "vec_id", "v", block).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = rows.filter("is_query").select("row", "vec_id", "v", query_block).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, vectors = own.column("vec_id").to_numpy(), _matrix(own.column("v"), dim)
-        qids, qvectors = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), dim)
+        numbers, ids, vectors = own.column("row").to_numpy(), own.column("vec_id").to_numpy(), _matrix(own.column("v"), dim) * scale
+        q_numbers, qids, qvectors = asked.column("row").to_numpy(), asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), dim) * scale
         out: list[tuple] = []
         if len(ids) and len(qids):
             index = MultiIndex(coder.codes(vectors))
             for a in range(0, len(qids), 128):
-                q_ids, q_vectors = qids[a : a + 128], qvectors[a : a + 128]
-                for q, row, score in nearest(index, coder, ids, vectors, q_ids, q_vectors, k):
-                    out.append((q_ids[q], ids[row], score))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    near = index.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                q_ids, q_rows, q_vectors = qids[a : a + 128], q_numbers[a : a + 128], qvectors[a : a + 128]
+                for q, row, score in nearest(index, coder, numbers, ids, vectors, q_rows, q_vectors, k):
+                    out.append((q_rows[q], q_ids[q], ids[row], score))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), map(pa.array, columns, kinds), strict=True)))
+
+    near = index.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInArrow(answer, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", (F.col("score") / scale / scale).alias("score"))

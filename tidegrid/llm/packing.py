@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, sql_type
+from .common import checkpointed, column, sql_type
 
 #: The byte-level pattern by which the tokenizer cuts text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,7 +124,7 @@ def token_pieces(df: DataFrame, tokenizer_file: str, *, capacity: int = 2048, en
                     crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(tokenize, f"doc_id {sql_type(rows, 'doc_id')}, piece int, start long, length long, ids_crc32 long")
 
 

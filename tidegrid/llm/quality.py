@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_bytes, learnable, sql_type, word_hashes
+from .common import by_bytes, column, learnable, sql_type, word_hashes
 
 WORD_BUCKETS = 1 << 12
 BINS = 24
@@ -194,12 +195,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, columns:
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...]) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)))
+    return df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), *(column(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)))
 
 
 def training_features(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, metadata: tuple[str, ...], per_class: int) -> tuple[list, np.ndarray]:
     """Features of at most per_class labelled texts of each class, those whose ids have the smallest hashes. Whole texts."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & learnable(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
+    known = labels.select(column(id_col).alias("doc_id"), column(label_col).alias("label")).filter(F.col("label").isin(0, 1) & learnable(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
     taken = None
     for y in (0, 1):
@@ -215,7 +217,10 @@ def training_features(df: DataFrame, labels: DataFrame, *, id_col: str, text_col
                 yield pa.RecordBatch.from_arrays([label[a:b], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(columns, pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.float32()))], ["label", "columns", "values"])
 
     rows = _rows(df, id_col, text_col, metadata)
-    chosen = rows.join(F.broadcast(taken.select("doc_id", "label")), "doc_id").select("label", "text", *(f"m{i}" for i in range(len(metadata))))  # 2 x per_class ids
+    meta_columns = [f"m{i}" for i in range(len(metadata))]
+    chosen = rows.join(F.broadcast(taken.select("doc_id", "label")), "doc_id")  # 2 x per_class ids
+    # one row of each id, so that repeats don't enter the sample
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", *meta_columns)).alias("r")).select("label", "r.text", *(f"r.{c}" for c in meta_columns))
     found = chosen.mapInArrow(features, "label int, columns array<int>, values array<float>").toArrow()
     columns, values = found.column("columns").combine_chunks(), found.column("values").combine_chunks()
     bounds = columns.offsets.to_numpy()
@@ -231,19 +236,19 @@ def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit(rows, y, width(len(metadata)), rank=rank, seed=seed)
 
 
-def score(df: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
-    """doc_id and score of each row of df; with keep, df's columns and quality_score.
+def score(df: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), keep: str | None = None) -> DataFrame:
+    """doc_id and score of each row of df; with keep, df's columns and the score under that name, which no column of df has.
 
     Null and empty texts get the score of a text without words. Repeated rows are scored each; a text is scored whole.
     """
     # the few hundred KB of the model go with the task
-    names, kinds = list(df.columns), {f.name: f.dataType for f in df.schema}
+    names = list(df.columns)
 
     def scores(text: list, meta: list[list]) -> pa.Array:
         out = [model.scores(*featurize(text[a:b], [m[a:b] for m in meta])) for a, b in by_bytes(text)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    if not keep:
+    if keep is None:
 
         def bare(batches):
             for batch in batches:
@@ -255,10 +260,12 @@ def score(df: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id",
     def whole(batches):
         for batch in batches:
             meta = [[None if v is None else float(v) for v in batch.column(names.index(c)).to_pylist()] for c in metadata]
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores(batch.column(names.index(text_col)).to_pylist(), meta)], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores(batch.column(names.index(text_col)).to_pylist(), meta)], plain)
 
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in names)
-    return df.mapInArrow(whole, f"{schema}, quality_score double")
+    # columns have plain names on their way, as mapInArrow can't take any name
+    plain = [f"c{i}" for i in range(len(names) + 1)]
+    schema = StructType([*(StructField(c, f.dataType) for c, f in zip(plain, df.schema)), StructField(plain[-1], DoubleType())])
+    return df.toDF(*plain[:-1]).mapInArrow(whole, schema).toDF(*names, keep)
 
 
 def accepted(score_col: Column, threshold: float = 0.7) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sql_type
+from .common import column, sql_type
 
 # The credential forms of the contract.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -120,7 +120,7 @@ def scan_secrets(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_dense"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(scan, f"doc_id {sql_type(rows, 'doc_id')}, n_assign long, n_access long, n_hex long, base_spans string, spans string, n_dense long")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks_for
+from .common import blocks_for, checkpointed, column
 
 
 def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int) -> np.ndarray:
@@ -34,13 +34,27 @@ def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy's draw up to its limit of 10^9; beyond it the normal law of the same moments. Margins stay exact either way."""
+    """A hypergeometric draw, by numpy up to its limit of 10^9."""
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
+    return _by_inversion(rng, good, bad, draws)
+
+
+def _by_inversion(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """The same law at any size: probabilities grow from their mode by exact ratios, and a uniform number picks among them.
+
+    What lies more than 14 standard deviations off has a probability below 1e-40, less than a double can tell from none.
+    """
     total = good + bad
-    mean = draws * good / total
-    var = mean * (bad / total) * ((total - draws) / max(1, total - 1))
-    return int(min(min(good, draws), max(max(0, draws - bad), round(rng.normal(mean, var**0.5)))))
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    spread = 40 + int(14 * (draws * (good / total) * (bad / total)) ** 0.5)
+    first, last = max(low, mode - spread), min(high, mode + spread)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(float(bad - draws) + k + 1)
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    weight = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(weight, rng.random() * weight[-1], side="right"))
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240229, rows_per_block: int = 1 << 20, least_blocks: int = 64, runs_per_shard: int | None = None) -> DataFrame:
@@ -48,21 +62,20 @@ def shuffle_into_shards(df: DataFrame, shards: int, *, id_col: str = "doc_id", t
 
     Returns doc_id, size, text_crc32, law ('rows'), shard, slot (0.. in each shard), grown_shard (null). Size is the
     text's UTF-8 bytes plus 8. Null text: no bytes and the CRC of the empty string. Null ids and repeated rows are
-    ordinary rows; where id, size and CRC are equal, rows are interchangeable. Fewer rows than shards: shards of
-    one row or none. An empty table gives an empty result. Other columns of df are not read.
+    ordinary rows: each row draws its own random numbers, which are written before they are used, so that a task that
+    runs again finds the same. Fewer rows than shards: shards of one row or none. An empty table gives an empty
+    result. Other columns of df are not read.
 
     Rows with equal texts are not held together: that would break the uniform law and the exact sizes.
     """
     rows = df.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        column(id_col).alias("doc_id"),
+        (F.coalesce(F.octet_length(column(text_col)), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(column(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    total = df.count()
-    blocks = blocks_for(total, rows_per_block, least_blocks)
-    # equal rows differ by nothing, so the block takes the id and the content: repeats of one id are spread too
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("block", block)
+    rows = checkpointed(rows.select("*", F.rand(seed).alias("r0"), F.rand(seed + 1).alias("r1"), F.rand(seed + 2).alias("r2")))
+    blocks = blocks_for(rows.count(), rows_per_block, least_blocks)
+    rows = rows.withColumn("block", F.floor(F.col("r0") * blocks).cast("int"))
     counts = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `blocks` rows
     held = [counts.get(b, 0) for b in range(blocks)]
     n = sum(held)
@@ -70,14 +83,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, *, id_col: str = "doc_id", t
     bounds = np.cumsum(matrix, axis=1)
     deal = df.sparkSession.createDataFrame([(b, [int(x) for x in bounds[b]]) for b in range(blocks)], "block int, upto array<long>")
 
-    first = F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(first, "doc_id", "size", "text_crc32")) - 1)
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("r1", "r0", "doc_id")) - 1)
     dealt = ranked.join(F.broadcast(deal), "block").withColumn("shard", F.size(F.filter("upto", lambda c: c <= F.col("r"))).cast("int"))
 
-    # the second permutation: a random key; its leading part cuts a shard into runs, which tasks sort side by side
+    # the second permutation: the leading part of a random number cuts a shard into runs, which tasks sort side by side
     runs = runs_per_shard or blocks_for(n // max(1, shards), rows_per_block, 8)
-    key = F.xxhash64(F.lit(seed + 2), "block", "r")
-    dealt = dealt.select("doc_id", "size", "text_crc32", "shard", key.alias("key")).withColumn("run", F.pmod(F.shiftright("key", 24), F.lit(runs)).cast("int"))
+    dealt = dealt.select("doc_id", "size", "text_crc32", "shard", F.col("r2").alias("key"), F.floor(F.col("r2") * runs).cast("int").alias("run"))
     tally = dealt.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
     before = tally.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     in_run = dealt.withColumn("k", F.row_number().over(Window.partitionBy("shard", "run").orderBy("key", "doc_id")) - 1)
