@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from tidegrid.llm.common import shared_folder, table
+from tidegrid.llm.common import fresh_names, removed, shared_folder, table
 from tidegrid.llm.queries import vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the given labels of these documents, accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
-    scored = quality.score(docs, model, metadata=("n_chars",), keep=True)
-    return scored.filter(quality.accepted(F.col("quality_score"))).drop("quality_score")
+    (score,) = fresh_names(docs, "score")
+    return quality.score(docs, model, metadata=("n_chars",), keep=score).filter(quality.accepted(F.col(score))).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents of sf_dir; each stage's rows lie as Parquet in the shared folder."""
+    """The stages applied to the documents of sf_dir; each stage's rows are written as Parquet to the shared folder.
+
+    What a stage has written is removed once the next one is done with it; the last stage's rows are the result.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        own = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(own)
+        if before is not None:
+            removed(spark, before)
+        docs, before = spark.read.parquet(own), own
     return docs
