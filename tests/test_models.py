@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -68,30 +70,53 @@ def test_noise_is_the_sum_of_its_terms():
 
 
 def slow_chips(price, turn, window, i):
-    w, total = [], 0.0
+    """All ten columns at tick i, chip by chip."""
+    chips = []  # [cost, weight]
     for k in range(i - window + 1, i + 1):
-        t = min(max(0.0 if np.isnan(turn[k]) else turn[k], 0), 1)
-        keep = 1.0
-        for later in range(k + 1, i + 1):
-            keep *= 1 - min(max(0.0 if np.isnan(turn[later]) else turn[later], 0), 1)
-        w.append((price[k], t * keep if np.isfinite(price[k]) and price[k] > 0 else 0.0))
-    total = sum(x for _, x in w)
-    return sum(x * (p / price[i] - 1) for p, x in w if x > 0) / total
+        t = min(max(turn[k], 0.0), 1.0) if math.isfinite(turn[k]) else 0.0
+        chips = [[c, w * (1 - t)] for c, w in chips]
+        if t > 0 and math.isfinite(price[k]) and price[k] > 0:
+            chips.append([price[k], t])
+    total = sum(w for _, w in chips)
+    if not math.isfinite(price[i]) or price[i] <= 0 or total <= 0:
+        return [math.nan] * 10
+    each = [(price[i] / c - 1, w / total) for c, w in chips if w > 0]
+    mean = sum(r * w for r, w in each)
+    m2, m3, m4 = (sum((r - mean) ** k * w for r, w in each) for k in (2, 3, 4))
+    shape = [m2**0.5, m3 / m2**1.5, m4 / m2**2] if m2 > 1e-12 else [0.0, math.nan, math.nan]
+    bins = [0.0] * 50
+    for r, w in each:
+        bins[min(49, max(0, math.floor((r + 0.5) / 0.02)))] += w
+    mode = -0.5 + (bins.index(max(bins)) + 0.5) * 0.02
+    of = lambda fits: sum(w for r, w in each if fits(r))
+    return [mean, *shape, mode, of(lambda r: -0.02 <= r <= 0.02), of(lambda r: r > 0.1), of(lambda r: 0.02 < r <= 0.1), of(lambda r: -0.1 <= r < -0.02), of(lambda r: r < -0.1)]
 
 
 def test_chips_against_a_loop():
-    rng = np.random.default_rng(42)
-    n, window = 150, 60
-    price, turn = rng.uniform(5, 15, n), rng.uniform(0, 0.1, n)
-    price[::37] = np.nan
-    turn[::53] = np.nan
-    turn[75], turn[90], turn[::29] = 1.0, 2.5, 0.0
-    got = distribution(price, turn, window)
-    assert np.isnan(got[: window - 1]).all()
-    for i in range(window - 1, n):
-        if np.isfinite(price[i]):
-            assert got[i, 0] == pytest.approx(slow_chips(price, turn, window, i), abs=1e-9)
-            assert got[i, [COLUMNS.index(c) for c in COLUMNS[5:]]].sum() == pytest.approx(1)
+    ticks, window = 300, 60
+    for lane in range(3):
+        rng = np.random.default_rng(lane)
+        price, turn = 10 * np.exp(np.cumsum(rng.normal(0, 0.03, ticks))), rng.uniform(0, 0.1, ticks)
+        i = np.arange(ticks)
+        price[(i + 7 * lane) % 37 == 0], turn[(i + 11 * lane) % 53 == 0], turn[(i + 13 * lane) % 29 == 0] = np.nan, np.nan, 0.0
+        if lane == 0:
+            turn[150], turn[170] = 1.0, 2.5
+        got = distribution(price, turn, window)
+        assert np.isnan(got[: window - 1]).all() and len(COLUMNS) == 10
+        for k in range(window - 1, ticks):
+            assert got[k] == pytest.approx(slow_chips(price, turn, window, k), abs=1e-9, nan_ok=True)
+
+
+def test_chips_by_hand():
+    # half the chips cost 8 and half 12, as the close is 10 on a day without turnover
+    got = dict(zip(COLUMNS, distribution(np.array([8.0, 12.0, 10.0]), np.array([1.0, 0.5, 0.0]), 3)[2], strict=True))
+    up, down = 10 / 8 - 1, 10 / 12 - 1
+    assert got["ret_avg"] == pytest.approx((up + down) / 2) and got["ret_std"] == pytest.approx((up - down) / 2)
+    assert got["profit_l"] == got["loss_l"] == pytest.approx(0.5) and got["bal"] == got["profit_s"] == got["loss_s"] == 0
+    # on the edges: 10 % of the cost is small, and the day's own chip is balanced
+    got = distribution(np.array([10.0, 11.0]), np.array([1.0, 0.0]), 2)[1]
+    assert got[COLUMNS.index("profit_s" if 11.0 / 10.0 - 1 <= 0.1 else "profit_l")] == 1
+    assert distribution(np.array([5.0, 10.0]), np.array([0.3, 1.0]), 2)[1].tolist()[:2] == [0.0, 0.0]
 
 
 def test_simulation_by_hand():

@@ -256,9 +256,24 @@ for _tag, _d in (("M", 21), ("A", 252)):
     ORACLES[f"pv_range_mom_{_tag}"] = duck_digits(_range_sql(_d), ["date", "symbol"], ["mmt_range"])
 
 
-@query("pv_chips")
+#: Chips by a join of each tick with the ticks of its window; what later ticks leave is a product, by sums of logarithms.
+_CHIPS = f"""WITH own AS (SELECT date, symbol, t, close, CASE WHEN turn IS NULL OR NOT isfinite(turn) THEN 0 ELSE greatest(0, least(1, turn)) END AS m FROM ({PANEL})),
+kept AS (SELECT *, sum(CASE WHEN m < 1 THEN ln(1 - m) ELSE 0 END) OVER w AS logs, sum(CASE WHEN m < 1 THEN 0 ELSE 1 END) OVER w AS cleared FROM own WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+chip AS (SELECT a.date, a.symbol, a.close / b.close AS x, b.m * exp(a.logs - b.logs) AS w FROM kept a JOIN kept b ON a.symbol = b.symbol AND b.t > a.t - {chips.WINDOW} AND b.t <= a.t AND a.cleared = b.cleared WHERE a.t >= {chips.WINDOW} AND a.close > 0 AND b.close > 0 AND b.m > 0),
+share AS (SELECT date, symbol, x - 1 AS r, x, w / sum(w) OVER (PARTITION BY date, symbol) AS w FROM chip),
+mean AS (SELECT date, symbol, sum(w * r) AS m1, sum(w * x * x) + power(sum(w * x), 2) AS squares FROM share GROUP BY ALL),
+moment AS (SELECT s.date, s.symbol, any_value(m1) AS m1, any_value(squares) AS squares, sum(w * power(r - m1, 2)) AS m2, sum(w * power(r - m1, 3)) AS m3, sum(w * power(r - m1, 4)) AS m4,
+    sum(CASE WHEN r >= -0.02 AND r <= 0.02 THEN w ELSE 0 END) AS bal, sum(CASE WHEN r > 0.1 THEN w ELSE 0 END) AS profit_l, sum(CASE WHEN r > 0.02 AND r <= 0.1 THEN w ELSE 0 END) AS profit_s,
+    sum(CASE WHEN r >= -0.1 AND r < -0.02 THEN w ELSE 0 END) AS loss_s, sum(CASE WHEN r < -0.1 THEN w ELSE 0 END) AS loss_l FROM share s JOIN mean USING (date, symbol) GROUP BY s.date, s.symbol),
+bin AS (SELECT date, symbol, greatest(0, least(49, floor((r + 0.5) / 0.02))) AS bin, sum(w) AS w FROM share GROUP BY ALL),
+modal AS (SELECT date, symbol, arg_max((bin + 0.5) * 0.02 - 0.5, (round(w, 9), -bin)) AS max_prob_ret FROM bin GROUP BY ALL)
+SELECT o.date, o.symbol, m1 AS ret_avg, CASE WHEN wide THEN sqrt(m2) ELSE m2 * 0 END AS ret_std, CASE WHEN wide THEN m3 / power(m2, 1.5) END AS ret_skew, CASE WHEN wide THEN m4 / power(m2, 2) END AS ret_kurt, max_prob_ret, bal, profit_l, profit_s, loss_s, loss_l
+FROM own o LEFT JOIN (SELECT *, m2 > greatest(1e-16, 1e-13 * squares) AS wide FROM moment) USING (date, symbol) LEFT JOIN modal USING (date, symbol)"""
+
+
+@query("pv_chips", duck_digits(_CHIPS, ["date", "symbol"], list(chips.COLUMNS)))
 def pv_chips(spark, sf_dir):
-    return chips.chip_distribution(market.factor_panel(spark, sf_dir))
+    return digits(chips.chip_distribution(market.factor_panel(spark, sf_dir)), list(chips.COLUMNS))
 
 
 _NL = f"SELECT date, symbol, power(z, 3) - coalesce(sum(power(z, 4)) OVER (PARTITION BY date) / nullif(sum(power(z, 2)) OVER (PARTITION BY date), 0), 0) * z AS \"NLSIZE\" FROM (SELECT date, symbol, {_Z} AS z FROM (SELECT date, symbol, CASE WHEN cap > 0 THEN ln(cap) END AS x FROM ({PANEL})))"
