@@ -136,6 +136,10 @@ def test_simulation_by_hand():
 def test_visible_text():
     assert text_of("<p>a <b>b</b></p><script>x()</script><div>c &amp; d<br>e</div>") == "a b\n\nc & d\ne"
     assert text_of(None) is None and text_of("") == ""
+    assert text_of("<table><tr><td>a</td><td>b</td></tr></table>") == "ab"
+    assert text_of("x<style>p {}</style>y</style>z<template><p>no</template>w") == "xyz\nw"
+    assert text_of("a\t \tb<p> \n \n <p>c<!-- no -->d") == "a b\n\ncd"
+    assert text_of("one<![x]two").startswith("one")  # whatever the parser makes of it, no error
 
 
 def test_projection_onto_the_simplex():

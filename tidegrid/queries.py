@@ -533,7 +533,22 @@ def backtest_nav(spark, sf_dir):
 # -- text and streams --------------------------------------------------------------------------------------------------
 
 
-@query("html_to_text")
+#: By patterns in place of a parser, for the entities that the pages hold.
+_TEXT = "html"
+for _pattern, _by in (
+    *((f"(?is)<{t}(\\s[^>]*)?>.*?</{t}\\s*>", "") for t in sorted(text.HIDDEN)),
+    ("(?s)<!--.*?-->", ""),
+    (f"(?i)</?({'|'.join(sorted(text.BLOCKS))})(\\s[^>]*)?/?>", "\n"),
+    ("<[^>]+>", ""),
+    *((f"&{e};", by) for e, by in (("quot", '"'), ("copy", "\xa9"), ("middot", "\xb7"), ("lt", "<"), ("gt", ">"), ("amp", "&"))),
+    ("[ \t]+", " "),
+    ("\n\\s*\n", "\n\n"),
+    ("^\\s+|\\s+$", ""),
+):
+    _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', '{_by}', 'g')"
+
+
+@query("html_to_text", f"SELECT page_id, url, {_TEXT} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return text.page_texts(market.table(spark, sf_dir, "pages"))
 
