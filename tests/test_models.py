@@ -47,26 +47,47 @@ def test_readouts_against_dense_matrices():
     assert models.portfolio_variance(w * 0, x, f, d) == 0
 
 
+def dense_shrinkage(r, name, halflife=250.0, fast=60.0):
+    """Correlations, deviations, the intensity and the drawn covariance, pair by pair."""
+    t, n = r.shape
+    a, b = (np.array([0.5 ** ((t - 1 - i) / h) for i in range(t)]) for h in (halflife, fast))
+    z = np.where(np.isnan(r), 0, r)
+    c = np.array([[(a * z[:, i] * z[:, j]).sum() / np.sqrt((a * z[:, i] ** 2).sum() * (a * z[:, j] ** 2).sum()) for j in range(n)] for i in range(n)])
+    sd = np.sqrt([(b * z[:, i] ** 2).sum() / b[~np.isnan(r[:, i])].sum() for i in range(n)])
+    u = np.sqrt(a)[:, None] * z / np.sqrt((a[:, None] * z**2).sum(axis=0))
+    off = [(i, j) for i in range(n) for j in range(n) if i != j]
+    noise = sum(((u[:, i] * u[:, j] - c[i, j] * a / a.sum()) ** 2).sum() for i, j in off)
+    mean = np.mean([c[i, j] for i, j in off])
+    line = u.T @ u.sum(axis=1) / np.linalg.norm(u.sum(axis=1))
+    level = {"none": c, "diagonal": np.zeros((n, n)), "single-index": np.outer(line, line)}.get(name, np.full((n, n), mean))
+    distance = sum((c[i, j] - level[i, j]) ** 2 for i, j in off)
+    k = 0.0 if name == "none" else min(1, noise / distance)
+    both = np.outer(sd, sd)
+    target = np.full((n, n), np.mean([(c * both)[i, j] for i, j in off])) if name == "common-covariance" else level * both
+    np.fill_diagonal(target, np.mean(sd**2) if name == "common-covariance" else sd**2)
+    return k, (1 - k) * c * both + k * target
+
+
 @pytest.mark.parametrize("name", models.TARGETS)
-def test_shrinkage_keeps_variances(name):
+@pytest.mark.parametrize("shape", [(60, 9), (25, 70)])
+def test_shrinkage_against_dense_matrices(name, shape):
     rng = np.random.default_rng(5)
-    r = rng.normal(size=(60, 9)) * rng.uniform(0.5, 2, 9)
+    r = rng.normal(size=shape) * rng.uniform(0.5, 2, shape[1]) + rng.normal(size=(shape[0], 1))
     r[:5, 2] = np.nan
     x, f, d, intensity = models.shrunk_covariance(r, name, 4)
-    sample = models.Sample.of(r, 250.0, 60.0)
-    target, _ = models.target_matrix(name, sample)
-    expected = (1 - intensity) * sample.sigma**2 + intensity * np.diag(target)
-    assert 0 <= intensity <= 1 and (x**2 @ f + d) == pytest.approx(expected)
-    assert (intensity == 0) == (name == "none")
-    if name == "common-covariance":
-        assert np.ptp(np.diag(target)) == 0
-
-
-def test_noise_is_the_sum_of_its_terms():
-    s = models.Sample.of(np.random.default_rng(6).normal(size=(20, 4)), 30.0, 30.0)
-    rho, share = s.correlation, s.decay / s.decay.sum()
-    total = sum(((s.u[:, i] * s.u[:, j] - rho[i, j] * share) ** 2).sum() for i in range(4) for j in range(4) if i != j)
-    assert s.noise() == pytest.approx(total)
+    k, full = dense_shrinkage(r, name)
+    values = np.linalg.eigvalsh(full)[::-1][:4]
+    assert intensity == pytest.approx(k) and f == pytest.approx(values) and (intensity == 0) == (name == "none")
+    assert np.diag(x @ np.diag(f) @ x.T) + d == pytest.approx(np.diag(full)) and x.T @ x == pytest.approx(np.eye(4), abs=1e-9)
+    assert full @ x == pytest.approx(x * f, abs=1e-7)
+
+
+def test_shrinkage_without_returns():
+    r = np.full((5, 3), np.nan)
+    assert np.isnan(models.shrunk_covariance(r, "diagonal", 2)[2]).all()
+    r[:, 1] = [0.1, -0.1, 0.2, 0.0, 0.1]
+    x, f, d, k = models.shrunk_covariance(r, "constant-correlation", 2)
+    assert np.isnan(d[[0, 2]]).all() and f[1] == 0 and (x[1, 0] ** 2 * f[0] + d[1]) > 0
 
 
 def slow_chips(price, turn, window, i):

@@ -79,104 +79,147 @@ def factor_risk(pairs: DataFrame, features: list[str], cov_halflife: float, spec
 
 
 # -- shrinkage covariance ----------------------------------------------------------------------------------------------
+#
+# A window has t ticks and n assets, n usually far larger. Correlations C = U'U have the rank of U's t rows, so whatever
+# is asked of them is asked of the t x t products G = UU', or of C times a few vectors; no n x n matrix is made.
+
+TARGETS = ("none", "diagonal", "constant-correlation", "common-covariance", "single-index")
+
+
+def unit_columns(returns: np.ndarray, cov_halflife: float, var_halflife: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U with C = U'U, each asset's deviation, and the ticks' shares of the decaying weight.
+
+    returns: [tick, asset], the newest last; gaps are NaN and count as zero in C, and not at all in deviations. No mean
+    is taken off.
+    """
+    age = np.arange(len(returns) - 1, -1, -1.0)
+    slow, fast = np.exp2(-age / cov_halflife), np.exp2(-age / var_halflife)
+    filled = np.nan_to_num(returns, nan=0.0, posinf=0.0, neginf=0.0)
+    u = filled * np.sqrt(slow)[:, None]
+    lengths = np.sqrt((u * u).sum(axis=0))
+    u /= np.where(lengths > 0, lengths, 1.0)
+    weight = fast @ np.isfinite(returns)
+    deviation = np.sqrt(fast @ (filled * filled) / np.where(weight > 0, weight, 1.0))
+    return u, deviation, slow / slow.sum()
+
+
+def correlation_noise(u: np.ndarray, share: np.ndarray) -> float:
+    """Estimation variance of the correlations, summed over all pairs of different assets.
+
+    A pair's variance is the sum over ticks of (u_i u_j - share c_ij)^2. Over all pairs, squares of products of columns
+    become squares of G's entries; what i = j adds is taken off.
+    """
+    g = u @ u.T
+    everything = (np.diag(g) ** 2).sum() - 2 * (share @ (g * g)).sum() + (share @ share) * (g * g).sum()
+    own = (u * u).sum(axis=0)
+    alone = (u**4).sum() - 2 * (share @ (u * u)) @ own + (share @ share) * (own @ own)
+    return float(everything - alone)
+
+
+def _distance(u: np.ndarray, line: np.ndarray | None, level: float) -> float:
+    """Squared distance of the correlations off the diagonal from line line' (if given), or from one level."""
+    own = (u * u).sum(axis=0)
+    g = u @ u.T
+    squares = (g * g).sum() - own @ own
+    if line is None:
+        total = (u.sum(axis=1) ** 2).sum() - own.sum()
+        n = u.shape[1]
+        return float(squares - 2 * level * total + n * (n - 1) * level**2)
+    crossed = ((u @ line) ** 2).sum() - own @ line**2
+    return float(squares - 2 * crossed + (line @ line) ** 2 - (line**4).sum())
 
 
 @dataclass
-class Sample:
-    """A window of returns as unit columns: correlation is u'u, covariance that times sigma sigma'."""
-
-    decay: np.ndarray
-    u: np.ndarray
-    sigma: np.ndarray
-
-    @classmethod
-    def of(cls, returns: np.ndarray, cov_halflife: float, var_halflife: float) -> Sample:
-        """returns: [tick, asset], the newest last, with gaps as NaN; no mean is taken off."""
-        have = np.isfinite(returns)
-        r = np.where(have, returns, 0.0)
-        age = np.arange(len(r))[::-1]
-        decay, var_decay = 2.0 ** (-age / cov_halflife), 2.0 ** (-age / var_halflife)
-        weighted = np.sqrt(decay)[:, None] * r
-        norm = np.linalg.norm(weighted, axis=0)
-        seen = var_decay @ have
-        return cls(decay, weighted / np.where(norm > 0, norm, 1), np.sqrt(var_decay @ r**2 / np.where(seen > 0, seen, 1)))
-
-    @property
-    def correlation(self) -> np.ndarray:
-        return self.u.T @ self.u
-
-    def noise(self) -> float:
-        """Summed estimation variance of the correlations off the diagonal."""
-        rho, u2, share = self.correlation, self.u**2, self.decay / self.decay.sum()
-        cross = self.u.T @ (self.u * share[:, None])
-        var = u2.T @ u2 - 2 * rho * cross + rho**2 * (share**2).sum()
-        return float(var.sum() - np.trace(var))
-
-
-def _off(m: np.ndarray) -> float:
-    return float(m.sum() - np.trace(m))
-
-
-def target_matrix(name: str, s: Sample) -> tuple[np.ndarray, np.ndarray | None]:
-    """The matrix that the covariance is drawn to, and the correlations by which its distance is measured (None: fixed intensity 0)."""
-    rho, sigma, m = s.correlation, s.sigma, len(s.sigma)
-    both = np.outer(sigma, sigma)
-    pairs = m * (m - 1)
-    mean = _off(rho) / pairs if pairs else 0.0
-    flat = np.full((m, m), mean)
-    if name == "none":
-        return np.zeros((m, m)), None
-    if name == "diagonal":
-        return np.diag(sigma**2), np.zeros((m, m))
-    if name == "constant-correlation":
-        out = flat * both
-        np.fill_diagonal(out, sigma**2)
-        return out, flat
-    if name == "common-covariance":
-        out = np.full((m, m), _off(rho * both) / pairs if pairs else 0.0)
-        np.fill_diagonal(out, (sigma**2).mean())
-        return out, flat
-    if name == "single-index":
-        market = s.u.sum(axis=1)
-        norm = np.linalg.norm(market)
-        q = s.u.T @ (market / (norm if norm > 0 else 1))
-        out = np.outer(q, q) * both
-        np.fill_diagonal(out, sigma**2)
-        return out, np.outer(q, q)
+class Target:
+    """A matrix diag(own) + line line' + level one one' off the diagonal, with `one` given by `along`; and its distance from C."""
+
+    own: np.ndarray
+    along: np.ndarray
+    level: float
+    distance: float | None
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The target times the columns of v."""
+        spread = np.outer(self.along, self.along @ v) * self.level
+        return spread + (self.own - self.level * self.along**2)[:, None] * v
+
+
+def target_of(name: str, u: np.ndarray, deviation: np.ndarray) -> Target:
+    """What the covariance is drawn to. A distance of None: it is not drawn at all."""
+    n = len(deviation)
+    variance, pairs = deviation**2, n * (n - 1)
+    off = lambda columns: (columns.sum(axis=1) ** 2).sum() - (columns**2).sum()
+    mean = off(u) / pairs if pairs else 0.0
+    match name:
+        case "none":
+            return Target(np.zeros(n), np.zeros(n), 0.0, None)
+        case "diagonal":
+            return Target(variance, np.zeros(n), 0.0, _distance(u, None, 0.0))
+        case "constant-correlation":
+            return Target(variance, deviation, mean, _distance(u, None, mean))
+        case "common-covariance":
+            level = off(u * deviation) / pairs if pairs else 0.0
+            return Target(np.full(n, variance.mean()), np.ones(n), level, _distance(u, None, mean))
+        case "single-index":
+            index = u.sum(axis=1)
+            size = np.sqrt(index @ index)
+            line = index @ u / (size if size > 0 else 1.0)
+            return Target(variance, line * deviation, 1.0, _distance(u, line, 0.0))
     raise ValueError(f"no target {name}")
 
 
-TARGETS = ("none", "diagonal", "constant-correlation", "common-covariance", "single-index")
+def largest_eigenpairs(times, n: int, k: int, rounds: int = 300, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues, falling, and their vectors of a symmetric matrix that is known by its products with columns.
+
+    A basis grows by what the matrix makes of its newest columns, until the values settle or it spans everything.
+    """
+    rng = np.random.default_rng(0)
+    basis, _ = np.linalg.qr(rng.normal(size=(n, min(n, 2 * k + 8))))
+    image = times(basis)
+    newest, before = image, None
+    for _ in range(rounds):
+        values, turn = np.linalg.eigh(basis.T @ image)
+        values, turn = values[::-1][:k], turn[:, ::-1][:, :k]
+        vectors = basis @ turn
+        gap = np.abs(image @ turn - vectors * values).max(initial=0.0)
+        if basis.shape[1] >= n or gap <= tolerance * max(1e-300, np.abs(values).max(initial=0.0)):
+            return values, vectors
+        fresh = newest - basis @ (basis.T @ newest)
+        fresh, sizes, _ = np.linalg.svd(fresh, full_matrices=False)
+        fresh = fresh[:, sizes > 1e-13 * max(1e-300, np.abs(newest).max(initial=0.0))][:, : n - basis.shape[1]]
+        if not fresh.shape[1]:  # the matrix makes nothing more of this basis
+            return values, vectors
+        fresh, _ = np.linalg.qr(fresh - basis @ (basis.T @ fresh))  # again, as one projection leaves rounding behind
+        newest = times(fresh)
+        basis, image = np.hstack((basis, fresh)), np.hstack((image, newest))
+    return values, vectors
 
 
 def shrunk_covariance(returns: np.ndarray, target: str, rank: int, *, cov_halflife: float = 250.0, var_halflife: float = 60.0, intensity: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Exposures [n, k], factor variances [k], specific variances [n] and the intensity.
 
-    The covariance is drawn to the target by noise over distance, within 0 and 1, cut to its largest eigenvalues, and
-    its diagonal is restored by the specific variances. An asset without a return in the window has none.
+    The covariance is drawn to the target by the share that noise has of the distance, 1 at most. Its largest
+    eigenvectors are the factors; specific variances restore its diagonal. An asset without a return in the window has none.
     """
     n = returns.shape[1]
-    have = np.isfinite(returns).any(axis=0)
+    seen = np.flatnonzero(np.isfinite(returns).any(axis=0))
     exposures, factors, specific = np.zeros((n, rank)), np.zeros(rank), np.full(n, np.nan)
-    if not have.any():
+    if not len(seen):
         return exposures, factors, specific, 0.0
-    s = Sample.of(returns[:, have], cov_halflife, var_halflife)
-    t, measured = target_matrix(target, s)
+    u, deviation, share = unit_columns(returns[:, seen], cov_halflife, var_halflife)
+    goal = target_of(target, u, deviation)
     if intensity is None:
         intensity = 0.0
-        if measured is not None:
-            # for a flat target, the distance is to the mean correlation: a sum of squares less the mean's
-            gap = s.correlation - measured
-            distance = _off(gap**2)
-            intensity = float(np.clip(s.noise() / (distance if distance > 0 else 1.0), 0, 1))
-    full = (1 - intensity) * s.correlation * np.outer(s.sigma, s.sigma) + intensity * t
-    value, vector = np.linalg.eigh(full)
-    k = min(rank, len(value))
-    value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
-    kept = int((value > 0).sum())
-    factors[:kept] = value[:kept]
-    exposures[np.ix_(have, np.arange(kept))] = vector[:, :kept]
-    specific[have] = np.maximum(np.diag(full) - vector[:, :kept] ** 2 @ value[:kept], 0)
+        if goal.distance is not None:
+            intensity = min(1.0, max(0.0, correlation_noise(u, share) / (goal.distance if goal.distance > 0 else 1.0)))
+    scaled = u * deviation
+    mixed = lambda v: (1 - intensity) * (scaled.T @ (scaled @ v)) + intensity * goal.times(v)
+    values, vectors = largest_eigenpairs(mixed, len(seen), min(rank, len(seen)))
+    found = int((values > 0).sum())
+    factors[:found] = values[:found]
+    exposures[seen[:, None], np.arange(found)] = vectors[:, :found]
+    diagonal = (1 - intensity) * (scaled**2).sum(axis=0) + intensity * goal.own
+    specific[seen] = np.maximum(diagonal - vectors[:, :found] ** 2 @ values[:found], 0)
     return exposures, factors, specific, intensity
 
 
