@@ -119,6 +119,30 @@ def turnover(books: DataFrame) -> DataFrame:
     return out.withColumn("total", F.sum("turnover").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def annualized_turnover(curve: DataFrame, days: int = 252) -> DataFrame:
+    """Per label, what a running turnover (date, label, total) grows by in a year of `days` values; null below SHORTEST values."""
+    grown = (F.max_by("total", "date") - F.min_by("total", "date")) / (F.count(F.lit(1)) / F.lit(float(days)))
+    return curve.filter("total IS NOT NULL AND NOT isnan(total)").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= SHORTEST, grown).alias("turnover"))
+
+
+def risk_model_statistics(scores: DataFrame, days: int = 252) -> DataFrame:
+    """Per label, from daily scores of a risk model and of the book that it holds for the least variance.
+
+    scores: label, log_likelihood, period_return, portfolio_variance, mean_correlation, factor_share, breadth,
+    short_share. A day counts as scored with a return and a variance above zero; volatilities a year and the bias
+    (deviation of returns over predicted deviations, 1 if predictions are right) are null below SHORTEST such days.
+    """
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    both = finite("period_return").isNotNull() & (finite("portfolio_variance") > 0)
+    ret, sd = F.when(both, F.col("period_return")), F.when(both, F.sqrt("portfolio_variance"))
+    scored = F.count(ret)
+    enough = lambda x: F.when(scored >= SHORTEST, x)
+    means = [F.avg(finite(c)).alias(c) for c in ("log_likelihood", "mean_correlation", "factor_share", "breadth", "short_share")]
+    return scores.groupBy("label").agg(
+        scored.alias("days"), enough(F.stddev_samp(ret) * days**0.5).alias("realized_vol"), enough(F.avg(sd) * days**0.5).alias("predicted_vol"), enough(F.stddev_samp(ret / sd)).alias("bias_ratio"), *means
+    )
+
+
 def exposures(books: DataFrame) -> DataFrame:
     """Per date: effective number of holdings, short and gross exposure."""
     w = F.col("weight")

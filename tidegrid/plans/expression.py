@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import ast
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from ..semantics import CONSTANT, MIN_PAIRS, NOISE, TIE_SPLIT, YEAR_DAYS
@@ -24,7 +26,7 @@ TIME = {"delay": 2, "delta": 2, "ts_sum": 2, "ts_mean": 2, "ts_std": 2, "ts_var"
 YEARLY = {"year_lag": 1, "year_mean": 1, "year_sum": 1}
 TIME |= YEARLY
 CROSS = {"rank": 1, "scale": 1, "neutralize": 2, "demean": 1}
-SINGLE = {"sign": 1, "abs": 1, "log": 1, "sqrt": 1, "power": 2, "larger": 2, "smaller": 2, "choose": 3}
+SINGLE = {"sign": 1, "abs": 1, "log": 1, "sqrt": 1, "power": 2, "larger": 2, "smaller": 2, "positive": 1, "negative": 1, "choose": 3}
 FUNCTIONS = TIME | CROSS | SINGLE
 # Other spellings of the functions.
 ALIASES = {
@@ -50,7 +52,7 @@ class Node:
 
     @property
     def is_boolean(self) -> bool:
-        return self.op in ("<", ">", "==", "or")
+        return self.op in ("<", ">", "<=", ">=", "==", "or")
 
 
 class Interner:
@@ -95,7 +97,7 @@ class Interner:
                 if sign:
                     return self.node(sign, (walk(a), walk(b)))
             case ast.Compare(left=a, ops=[op], comparators=[b]):
-                sign = {ast.Lt: "<", ast.Gt: ">", ast.Eq: "=="}.get(type(op))
+                sign = {ast.Lt: "<", ast.Gt: ">", ast.LtE: "<=", ast.GtE: ">=", ast.Eq: "=="}.get(type(op))
                 if sign:
                     return self.node(sign, (walk(a), walk(b)))
             case ast.BoolOp(op=ast.Or(), values=values):
@@ -162,8 +164,26 @@ class Dialect:
         return f"{'quantile_cont' if self.duck else 'percentile'}({x}, {q}) {over}"
 
 
+_near: ContextVar[bool] = ContextVar("near", default=False)
+
+
+@contextmanager
+def near_ties():
+    """While plans are written here, values that agree to 23 binary digits are equal to ranks, extremes and comparisons.
+
+    So two engines that sum in different orders find the same ties. Elsewhere values are compared exactly.
+    """
+    token = _near.set(True)
+    try:
+        yield
+    finally:
+        _near.reset(token)
+
+
 def tie(x: str) -> str:
-    """x to 23 binary digits, by a product and two differences that every engine computes alike; noise around zero is zero."""
+    """x; under near_ties() to 23 binary digits, by a product and two differences that every engine computes alike, and noise around zero is zero."""
+    if not _near.get():
+        return x
     return f"(CASE WHEN abs({x}) < {NOISE} THEN CAST(0 AS DOUBLE) ELSE {x} * {TIE_SPLIT} - ({x} * {TIE_SPLIT} - {x}) END)"
 
 
@@ -272,7 +292,7 @@ def single_sql(n: Node, args: list[str]) -> str:
             return f"({args[0]} {n.op} {args[1]})"
         case "/":
             return f"({args[0]} / nullif({args[1]}, 0))"
-        case "<" | ">" | "==":
+        case "<" | ">" | "<=" | ">=" | "==":
             return f"({at(args[0])} {'=' if n.op == '==' else n.op} {at(args[1])})"
         case "or":
             return f"({args[0]} OR {args[1]})"
@@ -280,6 +300,9 @@ def single_sql(n: Node, args: list[str]) -> str:
             return f"(CASE WHEN {args[0]} THEN {args[1]} ELSE {args[2]} END)"
         case "larger" | "smaller":
             return f"{'greatest' if n.op == 'larger' else 'least'}({args[0]}, {args[1]})"
+        case "positive" | "negative":  # the part above or below zero; missing where x is, unlike larger(x, 0)
+            part, none = (">", "<=") if n.op == "positive" else ("<", ">=")
+            return f"(CASE WHEN {args[0]} {part} 0 THEN {args[0]} WHEN {args[0]} {none} 0 THEN CAST(0 AS DOUBLE) END)"
         case "sign":
             return f"(CASE WHEN {args[0]} < 0 THEN CAST(-1 AS DOUBLE) WHEN {args[0]} >= 0 THEN CAST(1 AS DOUBLE) END)"
         case "abs":

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +14,19 @@ from pyspark.sql import functions as F
 from . import catalogs
 from .operators import chips, cross_section, models, reports, simulator, text
 from .operators.reports_sql import CURRENT, ON_TICK, QUARTERLY, RATED, REPORT_PANEL
-from .plans.expression import average_rank, duckdb_sql, evaluate
+from .plans.expression import average_rank, duckdb_sql, evaluate, near_ties
 from .semantics import WINSOR
-from .sources import market
+from .sources import files, market
 from .sources.market_sql import DENSE, MARKET, PANEL, PRICES, SYMBOLS
 from .streaming import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: All plans and all SQL of this module are written under near_ties(), as two engines have to find the same ties.
+_ties = ExitStack()
+_ties.enter_context(near_ties())
+
 #: A value to 17 binary digits, so that sums taken in another order compare equal; the same in Spark and in DuckDB. It is
 #: moved by less than that first, as round numbers lie just between two such values.
 SPLIT, MOVED = "CAST(68719476737 AS DOUBLE)", "({x} * CAST(1.0000003 AS DOUBLE))"
@@ -285,12 +293,14 @@ def style_nlsize(spark, sf_dir):
     return digits(cross_section.nonlinear_size(df, "size").select("date", "symbol", "NLSIZE"), ["NLSIZE"])
 
 
-TAGS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+TAGS = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 @query("industry_dummies", f"SELECT symbol, 1.0::DOUBLE AS \"COUNTRY\", {', '.join(f'CASE WHEN industry = {chr(39)}{t}{chr(39)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {chr(34)}IND_{t}{chr(34)}' for t in TAGS)} FROM ({SYMBOLS})")
 def industry_dummies(spark, sf_dir):
-    return cross_section.industry_dummies(market.symbols(spark, sf_dir).withColumn("COUNTRY", F.lit(1.0)), TAGS).drop("name", "industry")
+    known = market.symbols(spark, sf_dir)
+    tags = [r.industry for r in known.filter("industry <> ''").select("industry").distinct().orderBy("industry").collect()]  # one row an industry
+    return cross_section.industry_dummies(known.withColumn("COUNTRY", F.lit(1.0)), tags).drop("name", "industry")
 
 
 # -- selection, quotes, scores -----------------------------------------------------------------------------------------
@@ -389,11 +399,11 @@ def period_return(spark, sf_dir):
     return digits(books(spark, sf_dir).join(r, ["date", "symbol"]).groupBy("date").agg(F.sum(F.col("weight") * F.col("returns")).alias("period_return")), ["period_return"])
 
 
-_CURVES = f"SELECT date, CAST(symbol AS VARCHAR) AS label, close AS value FROM ({PANEL}) WHERE symbol <= 5"
+_CURVES = f"SELECT date, CAST(symbol AS VARCHAR) AS label, close AS value FROM ({PANEL})"
 
 
 def curves(spark, sf_dir) -> DataFrame:
-    return market.factor_panel(spark, sf_dir).filter("symbol <= 5").select("date", F.col("symbol").cast("string").alias("label"), F.col("close").alias("value"))
+    return market.factor_panel(spark, sf_dir).select("date", F.col("symbol").cast("string").alias("label"), F.col("close").alias("value"))
 
 
 @query("plot_normalize", duck_digits(f"SELECT date, label, value / first_value(CASE WHEN value <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY label ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS value FROM ({_CURVES})", ["date", "label"], ["value"]))
@@ -401,9 +411,47 @@ def plot_normalize(spark, sf_dir):
     return digits(cross_section.rebased(curves(spark, sf_dir)), ["value"])
 
 
-@query("wide_csv", duck_digits(f"SELECT date, {', '.join(f'max(value) FILTER (WHERE label = {chr(39)}{k}{chr(39)}) AS {chr(34)}s{k}{chr(34)}' for k in range(1, 6))} FROM ({_CURVES}) GROUP BY date", ["date"], [f"s{k}" for k in range(1, 6)]))
+INDUSTRIES = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_INDUSTRY_CURVES = f"SELECT date, {', '.join(f'avg(CASE WHEN industry = {chr(39)}{k}{chr(39)} THEN close END) AS {chr(34)}{k}{chr(34)}' for k in INDUSTRIES)} FROM ({PANEL}) GROUP BY date"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write and read."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/sink-{uuid.uuid4().hex}"
+
+
+@query("wide_csv", duck_digits(_INDUSTRY_CURVES, ["date"], INDUSTRIES))
 def wide_csv(spark, sf_dir):
-    return digits(cross_section.wide(curves(spark, sf_dir), [str(k) for k in range(1, 6)]).toDF("date", *(f"s{k}" for k in range(1, 6))), [f"s{k}" for k in range(1, 6)])
+    """The mean price of each industry, one column each, written as CSV and read again."""
+    df = market.factor_panel(spark, sf_dir).filter("industry <> ''").groupBy("date", F.col("industry").alias("label")).agg(F.avg("close").alias("value"))
+    files.write_csv(cross_section.wide(df, INDUSTRIES), path := folder(spark), "date")
+    return digits(spark.read.csv(path, header=True, schema="date date, " + ", ".join(f"`{k}` double" for k in INDUSTRIES)), INDUSTRIES)
+
+
+@query("weights_csv", duck_digits(f"SELECT date, symbol, weight FROM ({_BOOK}) WHERE weight >= 0.08", ["date", "symbol"], ["weight"]))
+def weights_csv(spark, sf_dir):
+    files.write_weights(books(spark, sf_dir), path := folder(spark), 0.08)
+    return digits(spark.read.csv(path, header=True, schema="date date, symbol long, weight double"), ["weight"])
+
+
+@query("feature_csv", duck_digits(_STATS, ["feature", "n"], ["mean", "std", "positive", "icir", "t_value"]))
+def feature_csv(spark, sf_dir):
+    files.write_features(cross_section.feature_statistics(coefficients(spark, sf_dir)), path := folder(spark))
+    return digits(spark.read.csv(path, header=True, schema="feature string, n long, mean double, std double, positive double, icir double, t_value double"), ["mean", "std", "positive", "icir", "t_value"])
+
+
+@query("panel_files", duck_digits(f"SELECT date, symbol, close AS close, volume AS volume FROM ({PRICES}) WHERE date >= DATE '{START}' AND date < DATE '{END}'", ["date", "symbol"], ["close", "volume"]))
+def panel_files(spark, sf_dir):
+    """Prices written as a panel and read again by field names and range."""
+    files.write_panel(market.prices(spark, sf_dir), path := folder(spark))
+    df = files.read_panel(spark, path, columns=["close", "volume"], prefix="prices", start=START, end=END)
+    return digits(df.toDF("date", "symbol", "close", "volume"), ["close", "volume"])
+
+
+@query("annualized_turnover", duck_digits(f"SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN (arg_max(total, date) - arg_min(total, date)) / (count(*) / 252.0::DOUBLE) END AS turnover FROM ({_TURN})", ["n"], ["turnover"]))
+def annualized_turnover(spark, sf_dir):
+    curve = cross_section.turnover(books(spark, sf_dir)).withColumn("label", F.lit("top10"))
+    return digits(cross_section.annualized_turnover(curve).select("n", "turnover"), ["turnover"])
 
 
 _NAV = f"""SELECT label, n, CASE WHEN n >= 10 THEN power(l / f, 252.0 / n) - 1 END AS cagr, CASE WHEN n >= 10 THEN m END AS mean, CASE WHEN n >= 10 THEN s END AS std, CASE WHEN n >= 10 THEN m / nullif(s, 0) * sqrt(252.0) END AS sharpe, CASE WHEN n >= 10 THEN d END AS drawdown FROM (
@@ -512,6 +560,73 @@ def _readouts(symbols, dates, returns, n):
     return {c: [r[i] for r in rows] for i, c in enumerate(("date", "metric", "value"))}
 
 
+METRICS = ("log_likelihood", "period_return", "portfolio_variance", "mean_correlation", "factor_share", "breadth", "short_share")
+
+
+def _compared(symbols, dates, returns, n):
+    """Every variant's model and its minimum-variance book, scored at each tick after the rebalance until the next one:
+    so each tick is scored by what was known at the tick before."""
+    import numpy as np
+
+    rows = []
+    for target in models.TARGETS:
+        x, f, d, _ = models.shrunk_covariance(returns[:n], target, RANK_OF_MODEL)
+        x, f, d = x, np.diag(f), np.nan_to_num(d, nan=1.0)
+        w = models.minimum_variance(x, f, d)
+        if w is None:
+            continue
+        fixed = (models.portfolio_variance(w, x, f, d), models.mean_correlation(x, f, d), models.factor_share(x, f, d), 1 / (w @ w), np.maximum(-w, 0).sum())
+        rows += [(date, target, models.log_likelihood(r, x, f, d), float(w @ np.nan_to_num(r)) if np.isfinite(r).any() else np.nan, *fixed) for date, r in zip(dates[n:], returns[n:], strict=True)]
+    return {c: [r[i] for r in rows] for i, c in enumerate(("date", "label", *METRICS))}
+
+
+QUERIES["risk_model_compare"] = _of_windows(_compared, "date date, label string, " + ", ".join(f"{c} double" for c in METRICS))
+
+
+@query("risk_model_stats")
+def risk_model_stats(spark, sf_dir):
+    return cross_section.risk_model_statistics(QUERIES["risk_model_compare"](spark, sf_dir))
+
+
+AVERSION = 5.0
+
+
+@query("strategy_books")
+def strategy_books(spark, sf_dir):
+    """At each rebalance the mean-variance book for expected returns: exposures times the premium expected so far."""
+    exposed = cross_section.normalized(evaluate(market.factor_panel(spark, sf_dir), _SIGNALS).withColumn("COUNTRY", F.lit(1.0)), list(_SIGNALS))
+    premium = models.ridge_premium(models.cross_sections(pairs(spark, sf_dir), FEATURES), 0.1, 60.0).select("date", "expected")
+    expected = sum(F.col(c) * F.col("expected")[i] for i, c in enumerate(FEATURES))
+    mu = exposed.join(F.broadcast(premium), "date").select("date", "symbol", expected.alias("mu"))  # one row a date
+    windows = _windows(spark, sf_dir).filter("t <= rebalance").join(mu, ["date", "symbol"], "left")
+
+    def one(rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("t")
+        grid = rows.pivot(index="t", columns="symbol", values="returns")
+        newest = rows[rows["t"] == rows["rebalance"]].set_index("symbol")
+        goal = newest["mu"].reindex(grid.columns).to_numpy(float)
+        # only what has a forecast and a variance is held
+        x, f, d, _ = models.shrunk_covariance(grid.to_numpy(float), "constant-correlation", RANK_OF_MODEL)
+        fine = np.isfinite(goal) & np.isfinite(d)
+        if not fine.any():
+            return pd.DataFrame({"date": [], "t": [], "symbol": [], "weight": []})
+        w = models.mean_variance(goal[fine], x[fine], np.diag(f), d[fine], AVERSION)
+        return pd.DataFrame({"date": newest["date"].iloc[0], "t": newest["t"].iloc[0], "symbol": grid.columns.to_numpy()[fine], "weight": w})
+
+    found = windows.groupBy("rebalance").applyInPandas(one, "date date, t long, symbol long, weight double")
+    return found.filter("weight > 0.000000001")
+
+
+@query("strategy_nav")
+def strategy_nav(spark, sf_dir):
+    """The strategy's books traded tick by tick."""
+    own = strategy_books(spark, sf_dir).select(F.lit("strategy").alias("label"), "t", "symbol", "weight")
+    return simulator.backtest(cross_section.quotes(market.market(spark, sf_dir)), own)
+
+
 QUERIES["gmv_books"] = _of_windows(_gmv, "date date, symbol long, weight double")
 #: The newest of the books only: a test holds the sum of all its weights at one.
 QUERIES["gmv_weights"] = _of_windows(lambda *window: {k: v for k, v in _gmv(*window).items() if k != "date"}, "symbol long, weight double", newest=True)
@@ -594,3 +709,16 @@ def reversal_ic(spark, sf_dir):
     df = cross_section.normalized(evaluate(market.factor_panel(spark, sf_dir), {k: _LAGGED[k] for k in ("reversal", "next")}), ["reversal"])
     ic = cross_section.information_coefficients(df, ["reversal"], "next")
     return digits(cross_section.cumulative(ic).select("date", "ic", "total"), ["ic", "total"])
+
+
+def _under_ties(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with near_ties():
+            return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES.update({name: _under_ties(f) for name, f in QUERIES.items()})
+_ties.close()

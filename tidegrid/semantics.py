@@ -8,8 +8,8 @@ ROLLING_DDOF, CROSS_DDOF = 1, 0
 MIN_PAIRS = 2
 #: A leg whose spread is below this share of its mean is constant.
 CONSTANT = 1e-7
-#: Ranks, extremes and comparisons see values at 23 binary digits, and nothing below NOISE: equal values stay equal
-#: however they were summed. The factor splits a double there.
+#: Under near_ties(), ranks, extremes and comparisons see values at 23 binary digits, and nothing below NOISE: equal
+#: values stay equal however they were summed. The factor splits a double there.
 TIE_SPLIT, NOISE = "CAST(1073741825 AS DOUBLE)", "CAST(0.000000000001 AS DOUBLE)"
 #: Length of a year for durations, in days; a sample exactly so old is inside.
 YEAR_DAYS = 365
