@@ -155,6 +155,20 @@ def test_parsing_against_a_search_for_substrings():
     assert has.all()
 
 
+@pytest.mark.parametrize("piece", [1, 3, 16, 64])
+def test_phrases_go_on_over_pieces(monkeypatch, piece):
+    rng = random.Random(piece)
+    known = ["".join(rng.choice("abca ") for _ in range(400)), "".join(rng.choice("xyza ") for _ in range(300))]
+    texts = [known[0], known[0][20:380] + known[0][10:200], known[1] * 2, "", "b", "q" * 50, *("".join(rng.choice("abcxyz q") for _ in range(rng.randrange(200))) for _ in range(6))]
+    texts.append("".join(known[rng.randrange(2)][k : k + rng.randrange(1, 90)] for k in range(0, 200, 7)))
+    whole, _ = langid.CrossParser(["l1", "l2"], known).bits_per_character(texts)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "TOGETHER", 1)
+    parser = langid.CrossParser(["l1", "l2"], known)
+    assert parser.bits_per_character(texts)[0] == pytest.approx(whole)
+    assert whole[0, 0] * len(langid.symbols_of([known[0]], parser.letters)[0]) == pytest.approx(parser.bits[0])  # one phrase
+
+
 def test_languages_are_found(spark):
     sf = "/root/testdata/sf0.1"
     rows = QUERIES["op4_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -21,8 +21,11 @@ from pyspark.sql.window import Window
 from .common import by_bytes, column, learnable, sql_type
 
 SPACE, OTHER, FIRST = 0, 1, 2
-#: Texts are parsed in pieces of so many characters; a phrase ends with its piece.
+#: Texts are parsed in pieces of so many characters, side by side; then each piece is parsed again from where the piece
+#: before it has come to, up to the first phrase that both parses begin at one place. So phrases don't end with pieces.
 PIECE = 1024
+#: Languages that are parsed at a time: their phrases' places are kept for a batch of texts, a byte a character.
+TOGETHER = 8
 #: Labelled texts that are longer than their share are learned from in passages of so many characters, spread evenly.
 PASSAGE = 100
 
@@ -143,27 +146,75 @@ class CrossParser:
         has_letter = np.add.reduceat(np.append(sym != SPACE, False).astype(np.int64), at[:-1]) > 0 if n else np.zeros(0, bool)
         pieces = -(-sizes // PIECE)
         of = np.repeat(np.arange(n), pieces)
-        start = at[:-1][of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = at[:-1][of] + PIECE * nth
         size = np.minimum(PIECE, at[1:][of] - start)
-        order = np.argsort(-size, kind="stable")
-        of, start, size = of[order], start[order], size[order]
         padded = np.append(sym, np.zeros(PIECE, sym.dtype))
-        state = np.repeat(self.roots[:, None], len(of), axis=1)
-        phrases = np.ones((langs, len(of)), np.int64)
-        live = np.searchsorted(-size, -np.arange(1, PIECE + 1), side="right")  # pieces of at least so many characters
-        for t in range(int(size[0]) if len(size) else 0):
-            m = live[t]
-            symbol, now = padded[start[:m] + t], state[:, :m]
-            move = self.table[now + symbol]
-            lang, k = np.nonzero(move >> 32 != now)
-            phrases[lang, k] += 1
-            move[lang, k] = self.table[self.roots[lang] + symbol[k]]
-            state[:, :m] = move & 0xFFFFFFFF
+        phrases = np.zeros((langs, len(of)), np.int64)
+        for g in range(0, langs, TOGETHER):
+            own = slice(g, g + TOGETHER)
+            phrases[own] = self._phrases(self.roots[own], padded, start, size, nth > 0)
         total = np.zeros((n, langs))
         for j in range(langs):
             total[:, j] = np.bincount(of, phrases[j], n)[:n] * self.bits[j]
         return total / np.maximum(sizes, 1)[:, None], has_letter
 
+    def _phrases(self, roots: np.ndarray, padded: np.ndarray, start: np.ndarray, size: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """[language, piece] phrases that begin in each piece; goes_on: the piece before it is of the same text."""
+        begins, state = self._side_by_side(roots, padded, start, size)
+        alone = begins.sum(axis=2, dtype=np.int64)
+        out = alone + ~goes_on  # a text's first phrase
+        end = state.copy()
+        lang, piece = np.nonzero(np.broadcast_to(goes_on, out.shape))
+        while len(piece):
+            now, own, passed = end[lang, piece - 1], np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
+            after = state[lang, piece]
+            met = np.zeros(len(piece), bool)
+            live, t = np.arange(len(piece)), 0
+            while len(live):
+                k, j = piece[live], lang[live]
+                symbol = padded[start[k] + t]
+                move = self.table[now[live] + symbol]
+                new = move >> 32 != now[live]
+                move = np.where(new, self.table[roots[j] + symbol], move)
+                now[live] = move & 0xFFFFFFFF
+                both = begins[j, k, t]
+                own[live] += new
+                passed[live] += both
+                met[live] = new & both
+                t += 1
+                live = live[~(new & both) & (t < size[k])]
+            out[lang, piece] = np.where(met, own + alone[lang, piece] - passed, own)
+            after = np.where(met, after, now)
+            changed = after != end[lang, piece]
+            end[lang, piece] = after
+            # a piece whose end is not what the next one was parsed from
+            lang, piece = lang[changed], piece[changed] + 1
+            fine = piece < len(size)
+            lang, piece = lang[fine], piece[fine]
+            fine = goes_on[piece]
+            lang, piece = lang[fine], piece[fine]
+        return out
+
+    def _side_by_side(self, roots: np.ndarray, padded: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin in each piece when it is parsed from its first character (that one not marked), and the last states."""
+        order = np.argsort(-size, kind="stable")
+        from_, length = start[order], size[order]
+        state = np.repeat(roots[:, None], len(order), axis=1)
+        begins = np.zeros((len(roots), len(order), PIECE), bool)
+        live = np.searchsorted(-length, -np.arange(1, PIECE + 1), side="right")  # pieces of at least so many characters
+        for t in range(int(length[0]) if len(length) else 0):
+            m = live[t]
+            symbol, now = padded[from_[:m] + t], state[:, :m]
+            move = self.table[now + symbol]
+            lang, k = np.nonzero(move >> 32 != now)
+            begins[lang, order[k], t] = True
+            move[lang, k] = self.table[roots[lang] + symbol[k]]
+            state[:, :m] = move & 0xFFFFFFFF
+        back = np.empty_like(state)
+        back[:, order] = state
+        return begins, back
+
 
 def labelled_texts(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, chars_per_language: int, texts_per_language: int, max_languages: int | None = None) -> tuple[list[str], list[str]]:
     """Languages and one labelled text for each, from the texts whose ids have the smallest hashes.
