@@ -5,8 +5,9 @@ different lines are similar if the Jaccard similarity of their token sets is at
 all tokens, two similar sets of sizes x and y share a token among the first x - ceil(t x) + 1 and y - ceil(t y) + 1;
 with prefixes that are longer by s - 1 tokens, they share s.
 
-1. In the order of the tokens' hashes, which needs no counts, prefixes longer by a twentieth are held against each other.
-   A line that shares fewer tokens there than any partner would is done; only prefixes have moved so far.
+1. In the order of the hashes of the tokens' first words, which needs no counts and no token outside the prefixes, prefixes
+   longer by a twentieth are held against each other. A line that shares fewer tokens there than any partner would is
+   done; only prefixes have moved so far.
 2. For the other lines, tokens are counted and put in order of rarity; lines meet at the rare tokens of their prefixes,
    by the length filter (sizes within t) and the positional filter (what can still be shared behind the tokens met).
 3. Pairs are verified on the whole sets, and a line goes if an earlier one is similar or equal.
@@ -57,8 +58,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return marked.select(*rest, "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
 
 
-def _tokenized(lines: DataFrame, words: int) -> DataFrame:
-    """lines with two hashes of their words, k1 and k2, and their tokens t in place of line and odd."""
+def _worded(lines: DataFrame) -> DataFrame:
+    """lines with same, the words in lower case with one space between, and h, the words' hashes, in place of line and odd."""
     rest = [c for c in lines.columns if c not in ("line", "odd")]
     low = lines.select(*rest, "odd", F.lower("line").alias("low"))
     # most lines have single spaces between words; a split at one character needs no pattern matching
@@ -66,8 +67,35 @@ def _tokenized(lines: DataFrame, words: int) -> DataFrame:
     cut = low.select(*rest, "low", "w", (F.col("odd") | F.array_contains("w", "")).alias("odd"))
     cut = cut.select(*rest, "low", "odd", F.when(F.col("odd"), F.split(F.btrim("low", F.lit(SPACES)), SPACE_CLASS)).otherwise(F.col("w")).alias("w"))
     same = F.when(F.col("odd"), F.array_join("w", " ")).otherwise(F.col("low"))
-    hashed = cut.select(*rest, same.alias("same"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.select(*rest, F.xxhash64("same").alias("k1"), F.xxhash64(F.lit(7), "same").alias("k2"), line_tokens(F.col("h"), words).alias("t"))
+    return cut.select(*rest, same.alias("same"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64("same").alias("k1"), F.xxhash64(F.lit(7), "same").alias("k2")]
+
+
+def _tokenized(lines: DataFrame, words: int) -> DataFrame:
+    """lines with two hashes of their words, k1 and k2, and their tokens t in place of line and odd."""
+    rest = [c for c in lines.columns if c not in ("line", "odd")]
+    return _worded(lines).select(*rest, *_keys(), line_tokens(F.col("h"), words).alias("t"))
+
+
+def _first_prefixes(lines: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """A row for each token of each line's first prefix: lid and token; one row of each line has doc_id, line_no, k1, k2 and least too.
+
+    Tokens are in the order of their first words' hashes. A prefix is taken to the end of the words that tie, and its
+    length is that of a set without repeated tokens, so it is never too short; least, the number of different first
+    words, is at most the set's size. Tokens that a line repeats stand there more than once. Only tokens of the prefix are hashed.
+    """
+    own = _worded(lines).select(F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", *_keys(), "h", F.slice("h", F.lit(1), F.greatest(F.size("h") - (words - 1), F.lit(1))).alias("starts"))
+    n = F.size("starts")
+    last = F.element_at(F.sort_array("starts"), prefix_length(n, num, den) - 1 + _asked(n))
+    own = own.select("lid", "doc_id", "line_no", "k1", "k2", "h", "starts", last.alias("last"), F.size(F.array_distinct("starts")).alias("least"), F.array_position("starts", F.array_min("starts")).alias("mark"))
+    each = own.select("*", F.posexplode("starts").alias("i", "x")).filter("x <= last")
+    h, i = F.col("h"), F.col("i")
+    run = F.xxhash64("x", *(F.get(h, i + k) for k in range(1, words)))
+    marked = (F.when(i + 1 == F.col("mark"), F.col(c)).alias(c) for c in ("doc_id", "line_no", "k1", "k2", "least"))
+    return each.select("lid", F.when(F.size(h) < words, F.xxhash64(F.lit(-1), h)).otherwise(run).alias("token"), *marked)
 
 
 def _hash_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -86,22 +114,22 @@ def removed_lines(df: DataFrame, *, words: int = 5, similarity: tuple[int, int]
     """
     num, den = similarity
     docs = df.filter(column(id_col).isNotNull() & column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    prefix = F.slice("t", F.lit(1), prefix_length(F.col("n"), num, den) - 1 + _asked(F.col("n")))
     # a line's number holds as the rows are written
-    seen = written(_tokenized(_lines(docs), words).withColumn("n", F.size("t")).select(F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "k1", "k2", "n", prefix.alias("prefix")))
-    lines = seen.select("lid", "k1", "k2", "n", F.struct("doc_id", "line_no").alias("o"))
+    seen = written(_first_prefixes(_lines(docs), words, num, den))
+    lines = seen.filter("k1 is not null").select("lid", "k1", "k2", "least", F.struct("doc_id", "line_no").alias("o"))
 
-    first = checkpointed(lines.groupBy("k1", "k2").agg(F.min(F.struct("o", "lid", "n")).alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "f.*", "copies"))
+    first = checkpointed(lines.groupBy("k1", "k2").agg(F.min(F.struct("o", "lid", "least")).alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "f.*", "copies"))
     again = first.filter("copies > 1").select("k1", "k2", F.col("o").alias("kept"))
     gone_equal = _hash_join(lines.select("k1", "k2", "o"), again, ["k1", "k2"]).filter("o <> kept").select("o", "kept", F.lit(1).alias("shared"), F.lit(1).alias("either")).distinct()
     gone_equal = checkpointed(gone_equal)
 
     # 1: prefixes in the order of hashes. Of the tokens met there, those count that more lines have than equal ones
-    entries = seen.select(F.explode("prefix").alias("token"), "lid")
+    entries = seen.select("token", "lid")
     common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
     met = _hash_join(entries, common, "token").groupBy("lid", "lines").agg(F.count(F.lit(1)).alias("tokens"))
-    met = met.join(first.select("lid", "k1", "n", "copies", "o"), "lid").filter("lines > copies").groupBy("lid").agg(F.sum("tokens").alias("tokens"), F.first("n").alias("n"), F.first("k1").alias("k1"), F.first("o").alias("o"))
-    active = met.filter(F.col("tokens") >= _asked(F.ceil(F.col("n") * num / den))).select("o.doc_id", F.struct("o.line_no", "k1", "lid").alias("line"))
+    met = _hash_join(met, first.select("lid", "k1", "least", "copies", "o"), "lid").filter("lines > copies")
+    met = met.groupBy("lid", "least", "k1", "o").agg(F.sum("tokens").alias("tokens"))
+    active = met.filter(F.col("tokens") >= _asked(F.ceil(F.col("least") * num / den))).select("o.doc_id", F.struct("o.line_no", "k1", "lid").alias("line"))
     by_doc = checkpointed(active.groupBy("doc_id").agg(F.collect_list("line").alias("active")))
     dropped(seen)
 
