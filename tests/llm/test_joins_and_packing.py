@@ -181,6 +181,54 @@ def test_benchmark_passages(spark, corpus, odd_rows):
     assert kept.columns == corpus(rows).columns and kept.count() == len(rows) - 4
 
 
+def slow_contaminated(rows, items):
+    """(doc, item): (score, matched, first, last) by trying every alignment on which a mask, or a whole short item, is equal."""
+    span, out = decontaminate.SPAN, {}
+    for doc, text in rows:
+        d = words(text)
+        for item, item_text in items:
+            w = words(item_text)
+            if not w or not d:
+                continue
+            masks = decontaminate.MASKS if len(w) >= span else ["1" * len(w)]
+            for shift in range(-len(w), len(d)):
+                equal = {i: w[i] == d[i + shift] for i in range(len(w)) if 0 <= i + shift < len(d)}
+                if not any(all(equal.get(i + k, False) for k, c in enumerate(m) if c == "1") and i + len(m) - 1 in equal for m in masks for i in equal):
+                    continue
+                # every stretch of the alignment; of equal scores the one that ends first, then the one that begins last
+                stretches = []
+                for a in equal:
+                    score = hits = 0
+                    for b in range(a, max(equal) + 1):
+                        score, hits = score + (1 if equal[b] else -1), hits + equal[b]
+                        stretches.append((score, -b, a, hits))
+                score, minus_b, a, hits = max(stretches)
+                if score >= min(12, math.ceil(len(w) * 0.6 - 1e-9)):
+                    found = (score, hits, a + shift, -minus_b + shift)
+                    if (doc, item) not in out or (score, -found[2]) > (out[doc, item][0], -out[doc, item][2]):
+                        out[doc, item] = found
+    return out
+
+
+def test_benchmark_passages_against_all_alignments(spark, corpus):
+    rng = random.Random(12)
+    some = [f"w{i}" for i in range(40)]
+    noise = lambda n: [rng.choice(some) for _ in range(n)]
+    items = [(k, " ".join(noise(rng.choice((3, 7, 8, 12, 20, 35))))) for k in range(14)]
+    rows = []
+    for doc in range(60):
+        item = items[rng.randrange(len(items))][1].split()
+        a = rng.randrange(len(item))
+        part = [w if rng.random() > 0.12 else rng.choice(some) for w in (item if doc % 3 else item[a:])]
+        rows.append((doc, " ".join(noise(rng.randrange(30)) + part + noise(rng.randrange(30)) + (item if doc % 7 == 0 else []))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.matched, r.doc_from, r.doc_to) for r in decontaminate.contaminated(corpus(rows), bench).collect()}
+    slow = slow_contaminated(rows, items)
+    assert got.keys() == slow.keys() and len(got) > 40
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in slow.items()}
+    assert sum(got[k] == slow[k] for k in got) >= 0.9 * len(got)  # stretches of one score may end elsewhere
+
+
 def test_items_shorter_than_a_seed_are_found(spark, corpus, odd_rows):
     rows = odd_rows + [(100, "so we ask: What is\tthe capital of Peru ? and go on"), (101, "what is the capital of Spain ?"), (102, "Capital"), (103, "the capital of Peru")]
     bench = spark.createDataFrame([(1, "what is the Capital of peru ?"), (2, "capital"), (3, "of Peru"), (4, " \n"), (5, ""), (6, None)], "item_id long, text string")

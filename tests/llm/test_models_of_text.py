@@ -7,10 +7,13 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidegrid.llm import langid, lm_score, quality, secrets
 from tidegrid.llm.queries import QUERIES, vocabulary
@@ -87,6 +90,87 @@ def test_secrets_of_odd_texts(spark, corpus, odd_rows):
     assert found.limit(0).count() == 0
 
 
+def slow_base(text):
+    """kind:start:end of the base forms by a walk over the characters."""
+    ascii_ = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    skip = lambda i, allowed: next((k for k in range(i, len(text)) if text[k] not in allowed), len(text))
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(word)].isascii() and text[i : i + len(word)].lower() == word:
+                k = i + len(word)
+                k = skip(k + (text[k : k + 1] in ("'", '"')), " ")
+                if text[k : k + 1] not in (":", "="):
+                    return None
+                k = skip(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"')
+                end = skip(k, ascii_ | set("+/_.=-"))
+                return (end, end - k >= 6) if end > k else None
+        return None
+
+    def access(i):
+        end = skip(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - i >= 20) if text.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexes(i):
+        end = skip(i, set("0123456789abcdef"))
+        return (end, end - i >= 24) if end > i else None
+
+    out = []
+    for k, form in enumerate((assign, access, hexes)):
+        i = 0
+        while i < len(text):
+            if m := form(i):
+                out += [(i, k, m[0])] * m[1]
+                i = m[0]
+            else:
+                i += 1
+    return [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out)]
+
+
+def test_secrets_query_against_a_walk_over_the_characters(spark, sf, tmp_path):
+    rng = random.Random(8)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "api_", '"', "'", " ", "  ", ":", "=", "==", "abc", "aB3/x+._-", "zzzzzzzz", "AKIA", "AKIA" + "Q7" * 9, "A" * 15, "A9" * 9, "0f" * 9, "deadbeef", "ÄÖ ", "\n", "ſecret=", "toKen=abcdef", "secret=token: abcdef"]
+    made = [(10**6 + i, "".join(rng.choice(parts) for _ in range(rng.randrange(60)))) for i in range(400)]
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    documents.union(spark.createDataFrame([*made, (10**7, None), (10**7 + 1, "")], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op2_secrets"](spark, str(tmp_path)).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys() and min(sum(r[n] for r in rows.values()) for n in ("n_assign", "n_access", "n_hex")) > 20
+    for doc, text in texts.items():
+        base, row = slow_base(text), rows[doc]
+        assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), text
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
+        assert [x for x in (row.spans or "").split(",") if x and not x.startswith("dense")] == base
+
+
+PARTS = st.sampled_from(["://", ":/", "/", ":", "@", "?", "#", " ", "\n", "key=", "a.b", "h" * 90, "Qx9zLk2Vp4Tr8Wm3Nc6Y", "https", "8080/", ",", "%"])
+
+
+@given(st.lists(PARTS, max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_what_stands_before_a_run_is_told_without_a_limit(parts):
+    text = "".join(parts)
+    before = secrets.Stretch(text)
+    for m in secrets.RUN.finditer(text):
+        before.to(m.start())
+        _, scheme, rest = re.search(r"\S*\Z", text[: m.start()]).group().rpartition("://")
+        assert (before.host >= 0) == bool(scheme)
+        if scheme:
+            assert text[before.host : m.start()] == rest
+            assert (before.in_query, before.past_host) == ("?" in rest or "#" in rest, "/" in rest or "@" in rest)
+
+
+def test_runs_in_long_urls(spark, corpus):
+    key = "x9Qz7Lk2Vp4Tr8Wm3Nc6Yb1"
+    long = "https://www.example.com/" + "a.b/" * 40
+    texts = [long + "," + key, long + "?page=1&" + "c.d&" * 40 + "key=" + key, "x" + ".y" * 5000 + "," + key]
+    rows = secrets.scan_secrets(corpus(list(enumerate(texts))), vocabulary("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()
+    spans = [[tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in rows]
+    assert spans[0] == [] and spans[2] == [(len(texts[2]) - len(key), len(texts[2]))]
+    assert (len(texts[1]) - len(key), len(texts[1])) in spans[1]
+
+
 def slow_scores(rows, order):
     texts = [words(t) for _, t in rows]
     counts = [collections.Counter(tuple(w[i : i + n + 1]) for w in texts for i in range(len(w) - n)) for n in range(order)]

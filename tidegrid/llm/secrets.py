@@ -35,7 +35,6 @@ UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]
 DIGEST = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}")
 DIGEST_LABEL = re.compile(r"(?i)(md5|sha-?\d+|checksum|digest|etag|commit|revision|integrity|fingerprint)\W{0,4}$")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,14}|[A-Z]{2,15}(?![A-Z]{2})|[0-9]{1,4})(?:[-_/+=]+|$|(?=[A-Z0-9]))")
-TAIL = re.compile(r"\S*$")
 PORT = re.compile(r"[0-9]{1,5}/")
 USER_INFO_ENDS = re.compile(r"[^\s/?#@]*@")
 QUERY_KEY = re.compile(r"[A-Za-z0-9_-]+=(?=[^=])")
@@ -65,25 +64,54 @@ def is_identifier(run: str, before: str) -> bool:
     return pos == len(core)
 
 
-def judged_from(text: str, start: int, end: int) -> int:
+class Stretch:
+    """What stands before a run in its stretch without white space, told from run to run; each character is looked at a few times at most."""
+
+    def __init__(self, text: str):
+        self.text, self.seen, self.first = text, 0, 0
+        self.host = -1  # where the last URL's host begins
+        self.in_query = self.past_host = False
+
+    def to(self, start: int) -> None:
+        text, i = self.text, start
+        while i > self.seen and not text[i - 1].isspace():
+            i -= 1
+        if i > self.seen:
+            self.seen = self.first = i
+            self.host, self.in_query, self.past_host = -1, False, False
+        scheme = text.rfind("://", max(self.first, self.seen - 2), start)
+        if scheme >= 0:
+            self.host, self.in_query, self.past_host = scheme + 3, False, False
+        if self.host >= 0:
+            part = text[max(self.seen, self.host) : start]
+            self.in_query = self.in_query or "?" in part or "#" in part
+            self.past_host = self.past_host or "/" in part or "@" in part
+        self.seen = start
+
+
+def judged_from(before: Stretch, start: int, end: int) -> int:
     """Where the part of a run begins that may be a secret: its end in a URL's host or path, behind the key in a query."""
-    _, scheme, rest = TAIL.search(text, max(0, start - 64), start).group().rpartition("://")
-    if not scheme:
+    text = before.text
+    if before.host < 0:
         return start
-    if "?" in rest or "#" in rest:
+    if before.in_query:
         key = QUERY_KEY.match(text, start, end)
         return key.end() if key else start
-    in_authority = not any(c in rest for c in "/@") and (rest.endswith(":") or "/" not in text[start:end]) and not PORT.match(text, start, end)
+    after_name = start > before.host and text[start - 1] == ":"
+    in_authority = not before.past_host and (after_name or "/" not in text[start:end]) and not PORT.match(text, start, end)
     return start if in_authority and USER_INFO_ENDS.match(text, end) else end
 
 
 def dense_spans(text: str, encode, max_chars_per_token: float, max_chars_per_token_short: float) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of runs with at most so many characters per token."""
     out = []
+    before = Stretch(text)
     for m in RUN.finditer(text):
         end = m.end()
-        start = judged_from(text, m.start(), end)
+        before.to(m.start())
+        start = judged_from(before, m.start(), end)
         run = text[start:end]
+        # a digest's label and what stands between them are far shorter than 64 characters
         if len(run) >= LEAST and len(set(run)) > 3 and not is_identifier(run, text[max(0, start - 64) : start]):
             if len(run) <= (max_chars_per_token if len(run) >= SHORT else max_chars_per_token_short) * len(encode(run)):
                 out.append((start, 3, end))
