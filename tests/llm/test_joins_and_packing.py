@@ -191,7 +191,9 @@ def slow_contaminated(rows, items):
             if not w or not d:
                 continue
             masks = decontaminate.MASKS if len(w) >= span else ["1" * len(w)]
-            for shift in range(-len(w), len(d)):
+            # an alignment with fewer equal words than a mask selects has no seed
+            alike = collections.Counter(j - i for j, x in enumerate(d) for i, y in enumerate(w) if x == y)
+            for shift in sorted(k for k, n in alike.items() if n >= min(5, len(w))):
                 equal = {i: w[i] == d[i + shift] for i in range(len(w)) if 0 <= i + shift < len(d)}
                 if not any(all(equal.get(i + k, False) for k, c in enumerate(m) if c == "1") and i + len(m) - 1 in equal for m in masks for i in equal):
                     continue
