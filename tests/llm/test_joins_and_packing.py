@@ -67,6 +67,24 @@ def test_repeated_rows_go_to_all_shards(spark):
     assert beside < 70  # about a fifth of the shard's fifth
 
 
+def test_order_has_nothing_of_the_input_order(spark):
+    """Chi-square of input bands against shards, against parts of a shard, and of each row's band against the next row's."""
+    n, bands = 24_000, 24
+    got = sharding.shuffle_into_shards(spark.range(n).selectExpr("id AS doc_id", "string(id) AS text"), 24).orderBy("shard", "slot").collect()
+    band = np.array([r.doc_id for r in got]) * bands // n
+
+    def chi_square(a, b, size):
+        table = np.zeros((bands, size))
+        np.add.at(table, (a, b), 1)
+        expected = np.outer(table.sum(1), table.sum(0)) / len(a)
+        return ((table - expected) ** 2 / expected).sum()
+
+    place = np.array([r.slot for r in got]) * bands // (n // 24)
+    for other in (np.array([r.shard for r in got]), place):
+        assert 529 - 5 * 32.5 < chi_square(band, other, bands) < 529 + 5 * 32.5
+    assert 529 - 5 * 32.5 < chi_square(band[:-1], band[1:], bands) < 529 + 5 * 32.5
+
+
 def test_shards(spark, corpus, odd_rows):
     rows = odd_rows + [(i, "same text") for i in range(100, 400)]
     got = sharding.shuffle_into_shards(corpus(rows), 7).collect()
