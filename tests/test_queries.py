@@ -68,6 +68,36 @@ def test_risk_models_run_at_every_rebalance(spark, sf):
             assert scores.loc[days[t], "log_likelihood"] == pytest.approx(models.log_likelihood(grid.loc[t].to_numpy(float), x, np.diag(f), np.nan_to_num(d, nan=1.0)))
 
 
+def test_ticks_go_to_few_tasks(spark):
+    df = spark.range(3).selectExpr("id AS symbol", "explode(sequence(1L, 401L)) AS t").selectExpr("symbol", "t", "IF(t % 7 = symbol, NULL, CAST(t * 10 + symbol AS DOUBLE)) AS x")
+
+    def solve(symbols, ticks, x, n):
+        assert list(symbols) == [0, 1, 2] and x.shape == (len(ticks), 3)
+        assert all((v != v) if t % 7 == s else v == t * 10 + s for t, row in zip(ticks, x, strict=True) for s, v in zip(symbols, row, strict=True))
+        return {"t": [ticks[n - 1]], "first": ticks[0], "last": ticks[-1]}
+
+    found = queries._of_windows(df, ["x"], solve, "t long, first long, last long")
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [(r, max(1, r - 119), min(401, r + 4)) for r in range(4, 402, 4)]
+    newest = queries._of_windows(df, ["x"], solve, "t long, first long, last long", newest=True)
+    assert [tuple(r) for r in newest.collect()] == [(400, 282, 401)]
+    # 13 tasks of 8 rebalances get at most 155 ticks each, where 100 windows of up to 124 were sent before
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "slice" in plan
+
+
+def test_books_need_only_the_ticks_of_what_they_hold(spark):
+    from tidegrid.operators import simulator
+
+    quoted = spark.range(50).selectExpr("id AS symbol", "explode(sequence(1L, 6L)) AS t").selectExpr("symbol", "t", "date_add(DATE '2024-01-01', CAST(t AS INT)) AS date", "IF(symbol = 1 AND t = 3, NULL, 10D + symbol + t) AS bid", "11D + symbol + t AS ask", "10.5D + symbol + t AS close", "true AS listed", "IF(t = 5, 0.1D, NULL) AS share", "CAST(NULL AS DOUBLE) AS cash")
+    own = spark.createDataFrame([("a", 2, 1, 0.5), ("a", 2, 2, 0.5), ("a", 4, 7, 1.0), ("b", 1, 99, 1.0), ("b", 40, 1, 1.0)], "label string, t long, symbol long, weight double")
+    got = simulator.backtest(quoted, own)
+    few = simulator.backtest(quoted.filter("symbol IN (1, 2, 7)"), own, quoted.select("t", "date").distinct())
+    rows = {(r.label, str(r.date)): (r.nav, r.cash) for r in got.collect()}
+    assert rows == {(r.label, str(r.date)): (r.nav, r.cash) for r in few.collect()} and len(rows) == 12
+    assert rows["b", "2024-01-07"] == (1e6, 1e6) and rows["a", "2024-01-07"][1] < 1e6 * 0.6
+
+
 def test_prefill_and_names(spark):
     df = spark.createDataFrame([("2024-01-01", 1, 5.0), ("2024-01-03", 1, 6.0), ("2024-01-02", 2, 7.0)], "date string, symbol long, x double")
     df = df.withColumn("date", df.date.cast("date"))

@@ -60,10 +60,14 @@ def nonlinear_size(df: DataFrame, size: str) -> DataFrame:
     return df.withColumn("NLSIZE", F.pow("_z", F.lit(3.0)) - F.coalesce(slope, F.lit(0.0)) * F.col("_z")).drop("_z")
 
 
+def largest(df: DataFrame, k: int, cap: str = "cap") -> DataFrame:
+    """The rows of the k largest capitalisations of each date; ties to the smaller symbol."""
+    return df.filter(F.col(cap) > 0).withColumn("_n", F.row_number().over(day().orderBy(F.desc(cap), "symbol"))).filter(F.col("_n") <= k).drop("_n")
+
+
 def cap_weighted_top(df: DataFrame, k: int, cap: str = "cap") -> DataFrame:
     """(date, symbol, weight): the k largest capitalisations of each date, weighted by them; ties to the smaller symbol."""
-    ranked = df.filter(F.col(cap) > 0).withColumn("_n", F.row_number().over(day().orderBy(F.desc(cap), "symbol"))).filter(F.col("_n") <= k)
-    return ranked.select("date", "symbol", (F.col(cap) / F.sum(cap).over(day())).alias("weight"))
+    return largest(df, k, cap).select("date", "symbol", (F.col(cap) / F.sum(cap).over(day())).alias("weight"))
 
 
 def quotes(df: DataFrame) -> DataFrame:

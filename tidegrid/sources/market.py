@@ -73,12 +73,13 @@ def rebalance_dates(spark: SparkSession, start: str, end: str, every: int) -> Da
     return spark.sql(f"SELECT explode(sequence(DATE '{start}', date_sub(DATE '{end}', 1), INTERVAL {int(every)} DAYS)) AS date")
 
 
-def dense(df: DataFrame, symbols: DataFrame) -> DataFrame:
+def dense(df: DataFrame, symbols: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """One row for each listed symbol and trading date, with t; values are null where df has no row.
 
-    The calendar is small and sent to all executors; the grid is then symbols times dates, as the panel itself.
+    The calendar is small and sent to all executors; the grid is then symbols times dates, as the panel itself. dates:
+    the calendar of df, where it is known without df's values.
     """
-    grid = symbols.select("symbol", "industry").crossJoin(F.broadcast(calendar(df)))
+    grid = symbols.select("symbol", "industry").crossJoin(F.broadcast(calendar(df) if dates is None else dates))
     return grid.join(df, ["date", "symbol"], "left")
 
 
@@ -111,9 +112,14 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("date", "symbol").agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"))
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar of prices(), without its bars."""
+    return calendar(table(spark, sf_dir, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date")))
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense grid with bars, shares outstanding, dividend events and adjustment multipliers."""
-    df = dense(prices(spark, sf_dir), symbols(spark, sf_dir))
+    df = dense(prices(spark, sf_dir), symbols(spark, sf_dir), ticks(spark, sf_dir))
     # shares: known from the first week; a seventh of the symbols doubles half way
     base = F.lit(10000) + (F.col("symbol") * 7919) % 9000
     half = F.col("t") > F.floor(F.max("t").over(Window.partitionBy("symbol")) / 2)
