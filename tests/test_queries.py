@@ -98,6 +98,24 @@ def test_books_need_only_the_ticks_of_what_they_hold(spark):
     assert rows["b", "2024-01-07"] == (1e6, 1e6) and rows["a", "2024-01-07"][1] < 1e6 * 0.6
 
 
+def test_streams_end_in_files(spark, tmp_path):
+    from tidegrid.streaming import bars
+
+    df = spark.range(500).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id * 7 % 500 AS INT)) AS ts", "id % 3 AS user_id", "concat('e', id % 2) AS event_type", "CAST(id * id % 31 AS DOUBLE) AS value")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = bars.run_to_end(bars.sessions(bars.events(spark, str(tmp_path))), "complete")
+    assert got.inputFiles()  # not rows in the driver's memory
+    assert {r.user_id: r.n for r in got.collect()} == {0: 167, 1: 167, 2: 166}
+    for n in (1, 4, 20):
+        means = {(r.key, r.event_id): r["mean"] for r in bars.run_to_end(bars.rolling_means(bars.events(spark, str(tmp_path)), n=n), "append").collect()}
+        assert len(means) == 500
+        for k in ("e0", "e1"):
+            rows = [r for r in df.filter(df.event_type == k).orderBy("ts", "event_id").collect()]
+            for i, r in enumerate(rows):
+                last = [x.value for x in rows[max(0, i - n + 1) : i + 1]]
+                assert means[k, r.event_id] == pytest.approx(sum(last) / len(last))
+
+
 def test_prefill_and_names(spark):
     df = spark.createDataFrame([("2024-01-01", 1, 5.0), ("2024-01-03", 1, 6.0), ("2024-01-02", 2, 7.0)], "date string, symbol long, x double")
     df = df.withColumn("date", df.date.cast("date"))

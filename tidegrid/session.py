@@ -20,9 +20,15 @@ def share_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; where that is unset, as in tests, a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegrid-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegrid-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
 from ..sources.market import table
 
 
@@ -48,13 +50,13 @@ def rolling_means(stream: DataFrame, key: str = "event_type", n: int = 20) -> Da
     """Mean of the last n values of each key with every event; the last n are the state. Events of one batch are in order of time."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        means = []
-        for v in rows["value"]:
-            held = [*held[1 - n :], float(v)] if n > 1 else [float(v)]
-            means.append(sum(held) / len(held))
-        state.update((held,))
+        # in front of the values what the first windows lack, as zeros that are not counted
+        values = np.concatenate((held, rows["value"].to_numpy(float)))
+        sums = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(n - 1), values)), n)[len(held) :].sum(axis=1)
+        means = sums / np.minimum(np.arange(len(held) + 1, len(values) + 1), n)
+        state.update((values[max(0, len(values) - n + 1) :].tolist(),))
         yield pd.DataFrame({"key": group[0], "event_id": rows["event_id"].to_numpy(), "mean": means})
 
     return stream.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(step, "key string, event_id long, mean double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -66,11 +68,24 @@ def carried_last(stream: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that is there now, through a streaming query into a table in memory."""
-    name = f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Everything that is there now, through a streaming query into Parquet tables in the shared folder.
+
+    In complete mode each batch gives everything so far, so the newest table is the result; otherwise all of them are.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    wanted = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/{n}" for n in wanted))
