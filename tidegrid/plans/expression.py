@@ -7,7 +7,7 @@ the same. Equal subexpressions of all expressions of a plan are one node.
 Time-series nodes need rows by symbol, cross-section nodes rows by date; changing from one to the other is a shuffle in
 Spark. The planner therefore runs every time-series node that is ready, nested ones in one partitioning after the other,
 then every cross-section node, and so on: the number of shuffles is the number of alternations of the deepest
-expression, for any number of expressions.
+expression, for any number of expressions. Sliding windows and ranks are computed in numpy (arrays.py), the rest by Spark.
 """
 
 from __future__ import annotations
@@ -133,6 +133,8 @@ class Stage:
     kind: str
     columns: list[tuple[str, str]] = field(default_factory=list)
     needs: set[str] = field(default_factory=set)
+    #: The nodes of the columns, over fields and columns made before.
+    nodes: list[tuple[str, Node]] = field(default_factory=list)
 
 
 class Dialect:
@@ -366,6 +368,11 @@ def plan(expressions: dict[str, str], dialect: Dialect = SPARK, fields: set[str]
             return n.value
         return single_sql(n, [text(a, needs) for a in n.args])
 
+    def resolved(n: Node) -> Node:
+        if id(n) in columns:
+            return Node("field", (), columns[id(n)])
+        return Node(n.op, tuple(map(resolved, n.args)), n.value)
+
     def ready(n: Node) -> bool:
         return all(id(a) in columns if id(a) in own else ready(a) for a in n.args)
 
@@ -385,11 +392,11 @@ def plan(expressions: dict[str, str], dialect: Dialect = SPARK, fields: set[str]
             needs: set[str] = set()
             args = [text(a, needs) for a in n.args]
             sql = time_sql(n, args, dialect) if this == "time" else cross_sql(n, args) if this == "cross" else single_sql(n, args)
-            made.append((n, f"c{len(columns) + len(made)}", sql, needs))
+            made.append((n, f"c{len(columns) + len(made)}", sql, needs, resolved(n)))
         for k in range(0, len(made), most_columns):
             part = made[k : k + most_columns]
-            stages.append(Stage(this, [(c, sql) for _, c, sql, _ in part], set().union(*(needs for *_, needs in part))))
-        for n, c, _, _ in made:
+            stages.append(Stage(this, [(c, sql) for _, c, sql, _, _ in part], set().union(*(needs for _, _, _, needs, _ in part)), [(c, own_node) for _, c, _, _, own_node in part]))
+        for n, c, *_ in made:
             columns[id(n)] = c
         done = {id(n) for n in now}
         left = [n for n in left if id(n) not in done]
@@ -415,14 +422,69 @@ def evaluate(panel, expressions: dict[str, str], cut_after: int | None = None):
     """
     p = plan(expressions, SPARK, set(panel.columns))
     df = panel.select(*KEYS, *sorted(p.fields - set(KEYS)))
-    for k, s in enumerate(p.stages):
-        keep = kept_after(p, k)
-        df = df.selectExpr(*KEYS, *(c for c in df.columns if c in keep and c not in KEYS), *(f"{sql} AS {c}" for c, sql in s.columns if c in keep))
-        if cut_after and (k + 1) % cut_after == 0:
+    for part in passes(p.stages):
+        if in_arrays([p.stages[k] for k in part]):
+            df = _by_arrays(df, [p.stages[k] for k in part], kept_after(p, part[-1]))
+        else:
+            for k in part:
+                keep = kept_after(p, k)
+                df = df.selectExpr(*KEYS, *(c for c in df.columns if c in keep and c not in KEYS), *(f"{sql} AS {c}" for c, sql in p.stages[k].columns if c in keep))
+        if cut_after and any((k + 1) % cut_after == 0 for k in part):
             df = df.checkpoint()
     return df.selectExpr(*KEYS, *(f"{c} AS `{name}`" for name, c in p.outputs.items()))
 
 
+def passes(stages: list[Stage]) -> list[list[int]]:
+    """Stages, by their numbers, that go over the same groups one after the other; single values go with what is before them."""
+    out: list[list[int]] = []
+    kind = ""
+    for k, s in enumerate(stages):
+        if not out or (s.kind != "single" and kind not in ("", s.kind)):
+            out.append([])
+            kind = ""
+        out[-1].append(k)
+        if s.kind != "single":
+            kind = s.kind
+    return out
+
+
+def in_arrays(stages: list[Stage]) -> bool:
+    """Whether numpy takes these stages: those with sliding windows or ranks. Lags and means of a date are cheaper in Spark."""
+    ops = {x.op for s in stages for _, x in s.nodes}
+    return not ops & set(YEARLY) and bool(ops & (set(TIME) - {"delay", "delta"} | {"rank"}))
+
+
+def _by_arrays(df, stages: list[Stage], keep: set[str]):
+    """df with the columns of stages that keep names, computed for whole symbols or dates at a time."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.window import Window
+
+    from ..session import share_package
+    from .arrays import PLACE, added, whole_symbols
+
+    share_package(df.sparkSession)
+    near = _near.get()
+    steps = [node for s in stages for node in s.nodes]
+    held = [*KEYS, *(c for c in df.columns if c in keep and c not in KEYS)]
+    new = [c for c, _ in steps if c in keep]
+    needs = set().union(*(s.needs for s in stages))
+    schema = StructType([*(df.schema[c] for c in held), *(StructField(c, DoubleType()) for c in new)])
+    read = df.select(*held, *(c for c in df.columns if c in needs and c not in held))
+
+    def by_symbol(batches):
+        for table in whole_symbols(batches):
+            yield from added(table, steps, held, new, near).to_batches()
+
+    def by_date(table):
+        return added(table, steps, held, new, near)
+
+    if any(s.kind == "time" for s in stages):
+        # the number needs a symbol's rows together and in order, and so they come to the function
+        return read.withColumn(PLACE, F.row_number().over(Window.partitionBy("symbol").orderBy("t"))).mapInArrow(by_symbol, schema)
+    return read.groupBy("date").applyInArrow(by_date, schema)
+
+
 def duckdb_sql(panel: str, expressions: dict[str, str], fields: set[str] | None = None) -> str:
     """The same as DuckDB SQL; panel: a query that gives the panel."""
     p = plan(expressions, DUCKDB, fields)
