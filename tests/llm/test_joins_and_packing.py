@@ -512,3 +512,44 @@ def test_survivors_and_graphs(spark, corpus, odd_rows):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (None, 3), (100, 90), (90, 80)], "a long, b long")
     labels = {r.id: r.label for r in connected_components(path).collect()}
     assert labels == {i: 0 for i in range(1, 41)} | {100: 80, 90: 80}
+
+
+def test_large_groups_send_few_links_to_components(spark, monkeypatch):
+    """Chains of near copies: each document shares regions with many others, but a link or two a document is enough."""
+    from tidegrid.llm import jaccard_join
+
+    rng = np.random.default_rng(11)
+    words, texts = [f"w{i}" for i in rng.integers(0, 10**6, 120)], []
+    for i in range(400):
+        own = list(words)
+        for _ in range(6):
+            own[rng.integers(0, 120)] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+        if i % 5 == 0:
+            words[rng.integers(0, 120)] = f"c{i}"
+    sent = []
+    components = jaccard_join.connected_components
+
+    def counted(links, *rest):
+        links = jaccard_join.checkpointed(links)
+        sent.append(links.distinct().count())
+        return components(links, *rest)
+
+    monkeypatch.setattr(jaccard_join, "connected_components", counted)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, words=4, similarity=(85, 100)).collect()}
+    sets = jaccard_join.shingle_sets(texts, 4)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard_join.linked(sets[i], sets[j], 85, 100):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert max(sent) <= len(texts), sent

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_bytes, column, learnable, sql_type, word_hashes
+from .common import by_bytes, column, learnable, sql_type, trimmed, word_hashes
 
 WORD_BUCKETS = 1 << 12
 BINS = 24
@@ -253,6 +253,7 @@ def score(df: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id",
         def bare(batches):
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), scores(batch.column(1).to_pylist(), [batch.column(2 + i).to_pylist() for i in range(len(metadata))])], ["doc_id", "score"])
+            trimmed()
 
         rows = _rows(df, id_col, text_col, metadata)
         return rows.mapInArrow(bare, f"doc_id {sql_type(rows, 'doc_id')}, score double")
@@ -261,6 +262,7 @@ def score(df: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id",
         for batch in batches:
             meta = [[None if v is None else float(v) for v in batch.column(names.index(c)).to_pylist()] for c in metadata]
             yield pa.RecordBatch.from_arrays([*batch.columns, scores(batch.column(names.index(text_col)).to_pylist(), meta)], plain)
+        trimmed()
 
     # columns have plain names on their way, as mapInArrow can't take any name
     plain = [f"c{i}" for i in range(len(names) + 1)]
