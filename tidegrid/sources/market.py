@@ -109,7 +109,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("at"), "l_quantity", "l_extendedprice",
     )
-    return rows.groupBy("date", "symbol").agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"))
+    # the first and the last row hold their prices, so that these don't move besides
+    px = lambda at: at["l_extendedprice"] / at["l_quantity"]
+    return rows.groupBy("date", "symbol").agg(px(F.min("at")).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), px(F.max("at")).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
